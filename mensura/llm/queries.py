@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, simhash
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op7_entropy_balancing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op4_virtual_slots, op5_tree_merge, op7_entropy_balancing)}
+def op8_pigeonring(spark, sf_dir):
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_virtual_slots, op5_tree_merge, op7_entropy_balancing, op8_pigeonring)}
 
 ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
