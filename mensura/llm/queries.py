@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import decontam, exact_dedup, langid, mixing, sharding, simhash
 from .common import table
 
 
+def op1_hyperdimensional(spark, sf_dir):
+    return langid.predict_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_window_simhash(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_virtual_slots(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,6 @@ def op8_pigeonring(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_virtual_slots, op5_tree_merge, op7_entropy_balancing, op8_pigeonring)}
+QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op7_entropy_balancing, op8_pigeonring)}
 
 ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
