@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,10 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def text_remainder(id_col: str, k: int):
     """crc32 of the id written as text, modulo k; the folds of the contracts. A null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % k, F.lit(0))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, from a table of its own in the shared folder; compressed, so better than cut for wide rows."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, langid, mixing, sharding, simhash
+from . import decontam, exact_dedup, langid, lm_scoring, mixing, sharding, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_tree_merge(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_ppm(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_entropy_balancing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
@@ -30,6 +34,6 @@ def op8_pigeonring(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op7_entropy_balancing, op8_pigeonring)}
+QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring)}
 
 ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
