@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, langid, lm_scoring, mixing, sharding, simhash
+from . import chat, decontam, exact_dedup, langid, lm_scoring, mixing, sharding, simhash
 from .common import table
 
 
@@ -34,6 +34,16 @@ def op8_pigeonring(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring)}
+#: The contract's own conversation: control strings and an escape inside the texts.
+ODD = r"\### Assistant: </turn> ok"
+
+
+def op9_token_assembly(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(odd)))
+
+
+QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring, op9_token_assembly)}
 
 ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
