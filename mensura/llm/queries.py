@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, lm_scoring, mixing, sharding, simhash
+from . import chat, decontam, exact_dedup, html_text, langid, lm_scoring, mixing, sharding, simhash
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_hyperdimensional(spark, sf_dir):
     return langid.predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_block_labeller(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_window_simhash(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,6 @@ def op9_token_assembly(spark, sf_dir):
     return chat.read_back(chat.format_turns(rows.unionByName(odd)))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring, op9_token_assembly)}
+QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op2_block_labeller, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring, op9_token_assembly)}
 
 ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
