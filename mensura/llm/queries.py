@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, html_text, langid, lm_scoring, mixing, sharding, simhash
+from . import chat, decontam, exact_dedup, html_text, langid, line_dedup, lm_scoring, mixing, sharding, simhash
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op9_token_assembly(spark, sf_dir):
     return chat.read_back(chat.format_turns(rows.unionByName(odd)))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op2_block_labeller, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring, op9_token_assembly)}
+def op10_fuzzy_lines(spark, sf_dir):
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op2_block_labeller, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring, op9_token_assembly, op10_fuzzy_lines)}
 
 ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
