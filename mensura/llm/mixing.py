@@ -103,8 +103,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: id, source, size, source_size, target, rate, copies, taken (= copies x size).
 
     Copies round the rates by systematic counting along each source in order of size, then a hash, then id:
-    the words a source gets differ from the target by about one document. No document gets over
-    `most` copies. A null text has no words and takes none; a null source is a source of its own, last in
+    then one document of the source changes by a copy where that brings the source's words nearer to its
+    target. No document gets over `most` copies. A null text has no words and takes none; a null source is a source of its own, last in
     order; sources without words have target 0. Rows with equal ids count one by one. No rows in, no rows out.
     """
     rows = cut(sized(docs, id_col, text_col, source_col).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")))
@@ -131,15 +131,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(rated, ["s", "size"]).select("s", "size", "part", "first", "unit", "start", "total", "target")
     k = F.row_number().over(Window.partitionBy("s", "size", "part").orderBy("id"))
-    return (
+    drawn = cut(
         rows.withColumn("k", k).join(offsets, ["s", "size", "part"])
         .withColumn("i", F.col("first") + F.col("k"))
         .withColumn("copies", F.expr(f"(start + i * unit + {UNIT // 2}) div {UNIT} - (start + (i - 1) * unit + {UNIT // 2}) div {UNIT}").cast("long"))
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("total").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
-                (F.col("unit") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("id", "source", "s", "size", "part", "k", "total", "target", "unit", "copies")
+    )
+    return _nearer(drawn, most).select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("total").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+        (F.col("unit") / UNIT).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
+def _nearer(drawn: DataFrame, most: int) -> DataFrame:
+    """One document of each source, the one whose size is nearest to what the source is off its target, changes by a copy."""
+    off = drawn.groupBy("s").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
+    gap = F.abs(F.col("size") - F.abs("off"))
+    room = ((F.col("off") > 0) & (F.col("copies") < most)) | ((F.col("off") < 0) & (F.col("copies") > 0))
+    best = drawn.join(off, "s").where(room & (gap < F.abs("off"))).groupBy("s").agg(F.min(F.struct(gap.alias("gap"), "size", "part", "k", F.signum("off").cast("long").alias("step"))).alias("b"))
+    steps = best.select("s", "b.size", "b.part", "b.k", "b.step")
+    return drawn.join(steps, ["s", "size", "part", "k"], "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, each as often as it takes it, with the columns of docs.
 
