@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import group_scoring
+
+GROUPS = (group_scoring,)
+QUERIES: dict = {name: f for g in GROUPS for name, f in g.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for g in GROUPS for name, sql in g.ORACLES.items()}
