@@ -78,15 +78,33 @@ def counts(texts: DataFrame, order: int = ppm.ORDER) -> DataFrame:
     return texts.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def train_trie(learned: DataFrame, order: int = ppm.ORDER, most: int = MAX_GRAMS) -> ppm.Trie:
-    """The trie of all counts. Its size is checked before it is collected: if the grams are too many to be
+class Model:
+    """What is broadcast: plain arrays. A worker builds the trie and the words' table once, when it first needs them."""
+
+    def __init__(self, order: int, grams: np.ndarray, n: np.ndarray, words: pa.Table, bottom: float):
+        self.order, self.grams, self.n, self.words, self.bottom = order, grams, n, words, bottom
+        self.built = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"built": None}
+
+    def ready(self) -> tuple[ppm.Trie, dict[bytes, float]]:
+        if self.built is None:
+            p = np.log10((self.words.column(1).to_numpy() + 0.5) / self.bottom).tolist()
+            self.built = (ppm.Trie(*ppm.count(self.grams, self.n), self.order), dict(zip(self.words.column(0).to_pylist(), p)))
+            self.grams = self.n = self.words = None
+        return self.built
+
+
+def bounded_grams(learned: DataFrame, order: int = ppm.ORDER, most: int = MAX_GRAMS) -> tuple[int, np.ndarray, np.ndarray]:
+    """(order, grams, counts). Their number is checked before they are collected: if they are too many to be
     held by each worker, the order is lowered until they fit (texts are all still counted and scored)."""
     grams = learned.where(F.col("gram").isNotNull()).select("gram", "n")
     while order > 1 and grams.count() > most:
         order -= 1
         grams = cut(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
-    got = grams.toPandas()
-    return ppm.Trie(*ppm.count(got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)), order)
+    got = grams.toArrow()
+    return order, got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
 
 
 def head_threshold(words: DataFrame, most: int = HEAD_WORDS) -> int:
@@ -117,13 +135,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bottom = total + 0.5 * (distinct + 1)
     least = head_threshold(words, head)
-    top = {bytes(r[0]): r[1] for r in words.where(F.col("n") >= least).collect()}
-    model = spark.sparkContext.broadcast((train_trie(learned, order), {w: (float(np.log10((n + 0.5) / bottom))) for w, n in top.items()}))
+    top = words.where(F.col("n") >= least).toArrow()
+    model = spark.sparkContext.broadcast(Model(*bounded_grams(learned, order), top, bottom))
     kind = docs.schema[id_col].dataType.simpleString()
     short_batches(spark)
 
     def run(batches):
-        trie, known = model.value
+        trie, known = model.value.ready()
         get = known.get
         row = TaskContext.get().partitionId() << 40
         for b in batches:

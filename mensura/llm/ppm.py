@@ -54,7 +54,7 @@ class _Hash:
     """Open addressing: gram to log probability."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.6))))
         self.keys = np.full(1 << self.bits, _EMPTY)
         self.values = np.zeros(1 << self.bits, np.float32)
         at, left = self._slot(keys), np.arange(len(keys))
