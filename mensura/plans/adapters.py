@@ -58,10 +58,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rays from a camera (ax, ay, az) to an end (bx, by, bz)."""
+    """Rays from a camera (px, py, pz) to an end (qx, qy, qz)."""
     return read(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey AS ray", "CAST(s_suppkey % 5 AS INT) AS scene", "CAST(s_suppkey * 11 % 61 AS DOUBLE) / 10.0D AS ax", "CAST(s_suppkey * 13 % 59 AS DOUBLE) / 10.0D AS ay", "1.5D AS az",
-        "CAST(s_suppkey * 17 % 67 AS DOUBLE) / 10.0D + 0.05D AS bx", "CAST(s_suppkey * 19 % 71 AS DOUBLE) / 10.0D + 0.05D AS by", "CAST(s_suppkey * 5 % 23 AS DOUBLE) / 10.0D AS bz")
+        "s_suppkey AS ray", "CAST(s_suppkey % 5 AS INT) AS scene", "CAST(s_suppkey * 11 % 61 AS DOUBLE) / 10.0D AS px", "CAST(s_suppkey * 13 % 59 AS DOUBLE) / 10.0D AS py", "1.5D AS pz",
+        "CAST(s_suppkey * 17 % 67 AS DOUBLE) / 10.0D + 0.05D AS qx", "CAST(s_suppkey * 19 % 71 AS DOUBLE) / 10.0D + 0.05D AS qy", "CAST(s_suppkey * 5 % 23 AS DOUBLE) / 10.0D AS qz")
 
 
 CLASSES = ("water_stain", "mold", "crack", "hole", "peeling_paint")

@@ -167,11 +167,10 @@ def calibration_lookup_fallback(spark, d):
     return calibration.with_multipliers(_estimates(spark, d), prior(spark))
 
 
-@query(f"""SELECT * EXCLUDE (a, g), round(greatest(0, value - sqrt((1.6449 * a) ** 2 + (value - value * exp(-1.6449 * g)) ** 2)), 4) AS lo, round(value + sqrt((1.6449 * a) ** 2 + (value * exp(1.6449 * g) - value) ** 2), 4) AS hi
+@query(f"""SELECT * EXCLUDE (a, g), round(greatest(0, value - sqrt((1.6449 * a) ** 2 + (value - value * exp(-1.6449 * g)) ** 2)), 6) AS lo, round(value + sqrt((1.6449 * a) ** 2 + (value * exp(1.6449 * g) - value) ** 2), 6) AS hi
  FROM (SELECT *, sqrt((sigma_abs * abs_mult) ** 2 + abs_floor ** 2) AS a, sigma_log * log_mult + log_floor AS g FROM ({_MULT}))""", *_ITEMS)
 def finalize_interval(spark, d):
-    out = calibration.finalize(_estimates(spark, d), prior(spark))
-    return out.withColumns({n: F.round(n, 4) for n in ("lo", "hi")})
+    return calibration.finalize(_estimates(spark, d), prior(spark))
 
 
 @query("SELECT capture, tier, kind, ref, truth BETWEEN lo AND hi AS covered, round(value - truth, 6) AS err, round((value - truth) / nullif(truth, 0), 6) AS rel FROM v_items", *_ITEMS)
