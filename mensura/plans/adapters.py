@@ -83,7 +83,7 @@ _REGION = (
 
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty rooms of the plan, with type and height."""
-    return read(spark, sf_dir, "part").where("p_partkey <= 40").selectExpr(*_ROOM)
+    return read(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 40").selectExpr(*_ROOM)
 
 
 _ROOM = ("CAST(p_partkey % 40 AS INT) AS room", "CASE p_partkey % 4 WHEN 0 THEN 'bathroom' WHEN 1 THEN 'kitchen' WHEN 2 THEN 'bedroom' ELSE 'hall' END AS room_type",
@@ -92,7 +92,7 @@ _ROOM = ("CAST(p_partkey % 40 AS INT) AS room", "CASE p_partkey % 4 WHEN 0 THEN
 
 def openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doors and windows on walls (room, face)."""
-    return read(spark, sf_dir, "part").where("p_partkey <= 160").selectExpr(*_OPENING)
+    return read(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 160").selectExpr(*_OPENING)
 
 
 _OPENING = ("p_partkey AS opening", "CAST(p_partkey % 40 AS INT) AS room", "CAST(p_partkey % 4 AS INT) AS face", "CASE WHEN p_partkey % 3 = 0 THEN 'door' ELSE 'window' END AS kind",

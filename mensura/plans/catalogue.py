@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import group_joins, group_scoring, group_spatial
+from . import group_joins, group_rules, group_scoring, group_spatial
 
-GROUPS = (group_scoring, group_spatial, group_joins)
+GROUPS = (group_scoring, group_spatial, group_joins, group_rules)
 QUERIES: dict = {name: f for g in GROUPS for name, f in g.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for g in GROUPS for name, sql in g.ORACLES.items()}
