@@ -144,11 +144,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _nearer(drawn: DataFrame, most: int) -> DataFrame:
-    """One document of each source, the one whose size is nearest to what the source is off its target, changes by a copy."""
+    """One document of each source, the one whose size is nearest to what the source is off its target, changes by a copy.
+
+    What a source is off is repeated for each part, so that a large source's rows aren't joined in one task.
+    """
     off = drawn.groupBy("s").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
     gap = F.abs(F.col("size") - F.abs("off"))
     room = ((F.col("off") > 0) & (F.col("copies") < most)) | ((F.col("off") < 0) & (F.col("copies") > 0))
-    best = drawn.join(off, "s").where(room & (gap < F.abs("off"))).groupBy("s").agg(F.min(F.struct(gap.alias("gap"), "size", "part", "k", F.signum("off").cast("long").alias("step"))).alias("b"))
+    spread = off.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    best = drawn.join(spread, ["s", "part"]).where(room & (gap < F.abs("off"))).groupBy("s").agg(F.min(F.struct(gap.alias("gap"), "size", "part", "k", F.signum("off").cast("long").alias("step"))).alias("b"))
     steps = best.select("s", "b.size", "b.part", "b.k", "b.step")
     return drawn.join(steps, ["s", "size", "part", "k"], "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
 
