@@ -16,8 +16,13 @@ REPEAT = (0.01, 0.005)
 BAND = (0.85, 0.95)
 SLACK = 1e-9
 
-_HIT = covered(F.col("truth"), F.col("lo"), F.col("hi"))
-_OFF = F.abs(F.col("value") - F.col("truth"))
+
+def _hit():
+    return covered(F.col("truth"), F.col("lo"), F.col("hi"))
+
+
+def _off():
+    return F.abs(F.col("value") - F.col("truth"))
 
 
 def _share(flag):
@@ -27,7 +32,7 @@ def _share(flag):
 def calibration_table(items: DataFrame) -> DataFrame:
     """Per (tier, kind): n, coverage, median width, median error, and whether coverage is within the band."""
     rows = items.groupBy("tier", "kind").agg(
-        F.count("*").alias("n"), _share(_HIT).alias("coverage"), F.median(F.col("hi") - F.col("lo")).alias("median_width"), F.median(_OFF).alias("median_abs_err"))
+        F.count("*").alias("n"), _share(_hit()).alias("coverage"), F.median(F.col("hi") - F.col("lo")).alias("median_width"), F.median(_off()).alias("median_abs_err"))
     return rows.withColumn("in_band", F.col("coverage").between(*BAND))
 
 
@@ -41,7 +46,7 @@ def wall_gate(items: DataFrame) -> DataFrame:
     """Per tier: all walls within tolerance, and coverage at least the band's lower end (its upper end doesn't count)."""
     walls = items.where("kind = 'wall_length'")
     rows = walls.groupBy("tier").agg(
-        F.count("*").alias("n"), F.count_if(_OFF <= wall_tolerance()).alias("within"), _share(_HIT).alias("coverage"), F.median(_OFF).alias("median_abs_err"))
+        F.count("*").alias("n"), F.count_if(_off() <= wall_tolerance()).alias("within"), _share(_hit()).alias("coverage"), F.median(_off()).alias("median_abs_err"))
     share = F.col("within") / F.col("n")
     return rows.withColumn("passed", (F.col("within") == F.col("n")) & (F.col("coverage") >= BAND[0])).withColumn("score", F.least(share, F.col("coverage") / BAND[0], F.lit(1.0)))
 
@@ -50,7 +55,7 @@ def ceiling_gate(items: DataFrame) -> DataFrame:
     """Per tier: every ceiling within tolerance; bias, spread (population) and the largest error."""
     e = F.col("value") - F.col("truth")
     rows = items.where("kind = 'ceiling_height'").groupBy("tier").agg(
-        F.count("*").alias("n"), F.count_if(_OFF <= CEILING_TOLERANCE + SLACK).alias("within"), F.avg(e).alias("bias"), F.stddev_pop(e).alias("spread"), F.max(_OFF).alias("largest"))
+        F.count("*").alias("n"), F.count_if(_off() <= CEILING_TOLERANCE + SLACK).alias("within"), F.avg(e).alias("bias"), F.stddev_pop(e).alias("spread"), F.max(_off()).alias("largest"))
     return rows.withColumn("passed", F.col("within") == F.col("n")).withColumn("score", F.col("within") / F.col("n"))
 
 
@@ -64,7 +69,7 @@ def opening_gate(scores: DataFrame) -> DataFrame:
 def capture_counters(items: DataFrame, missed_kind: str = "damage_extent", phantom_kind: str = "footprint_area") -> DataFrame:
     """Counters by capture from a fact table in which kinds mark matched, missed and phantom openings."""
     kind = F.col("kind")
-    near = _OFF <= OPENING_TOLERANCE + SLACK
+    near = _off() <= OPENING_TOLERANCE + SLACK
     return items.groupBy("capture", "tier").agg(
         F.count_if(kind.isin("opening_width", missed_kind)).alias("openings_gt"), F.count_if((kind == "opening_width") & near).alias("within"),
         F.count_if(kind == missed_kind).alias("missed"), F.count_if(kind == phantom_kind).alias("phantom"))
