@@ -132,3 +132,19 @@ def test_stream_windows(spark, tmp_path):
     rows = frames.collect()
     want = {max((r for r in rows if int(r.frame / 3) == s), key=lambda r: (r.sharpness, -r.frame)).frame for s in range(10)}
     assert best == want and spark.table("sess").first().n == 30 and spark.table("vox").count() == 6
+
+
+def test_layout_of_a_simulated_flat(spark):
+    from mensura.plans.layout import layout
+    from mensura.sources.simulate import flat
+
+    rooms = [(1, 1, 0.0, 0.0, 3.4, 2.9, 2.55), (1, 2, 3.5, 0.0, 6.1, 2.9, 2.55), (2, 1, 0.0, 0.0, 4.0, 3.0, 2.6)]
+    cloud = flat(spark, rooms, [(1, 0, 3.45, 1.0, 1.85, 2.05)]).cache()
+    got = layout(cloud)
+    heights = {r.scene: r.height for r in got["levels"].collect()}
+    assert heights == {1: pytest.approx(2.55, abs=0.001), 2: pytest.approx(2.6, abs=0.001)}
+    areas = {(r.scene, r.room): r.area for r in got["rooms"].collect()}
+    assert areas == {(1, 1): pytest.approx(3.4 * 2.9, rel=0.01), (1, 2): pytest.approx(2.6 * 2.9, rel=0.01), (2, 1): pytest.approx(12.0, rel=0.01)}
+    lengths = sorted(r.length for r in got["lines"].where("scene = 2").collect())
+    assert lengths == pytest.approx([3.0, 3.0, 4.0, 4.0], abs=0.06)
+    assert layout(cloud.where("scene = 9"))["rooms"].count() == 0
