@@ -168,3 +168,17 @@ def read_back(formatted: DataFrame, tokenizer: str = TOKENIZER, conv_col: str =
     ordered = formatted.repartition(F.col(conv_col)).sortWithinPartitions(conv_col, turn_col, "ids").select(F.col(conv_col).alias("conv"), "ids", "mask")
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.mapInArrow(run, schema).withColumnRenamed("conv", conv_col)
+
+
+#: What the query over `conversations` and the contract's own conversation must give; lengths of the control strings are 4, 2 and 9.
+ORACLE = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS escaped, regexp_replace(role, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS shown FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(shown) + 2 + length(escaped) + 9) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

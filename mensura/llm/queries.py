@@ -54,4 +54,4 @@ def op10_fuzzy_lines(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_hyperdimensional, op2_block_labeller, op3_window_simhash, op4_virtual_slots, op5_tree_merge, op6_ppm, op7_entropy_balancing, op8_pigeonring, op9_token_assembly, op10_fuzzy_lines)}
 
-ORACLES = {"op5_tree_merge": exact_dedup.ORACLE}
+ORACLES = {"op5_tree_merge": exact_dedup.ORACLE, "op9_token_assembly": chat.ORACLE}

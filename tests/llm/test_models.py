@@ -204,13 +204,12 @@ def ppm_text(t):
 
 def test_lm_lower_order_where_the_trie_is_too_large(spark, odd):
     learned = lm_scoring.counts(odd.select("text")).cache()
-    order, grams, n = lm_scoring.bounded_grams(learned, most=200)
-    want = ppm.count(np.concatenate([ppm.codes(ppm.framed(ppm_text(r.text), order), order) for r in odd.select("text").collect()]))
-    assert order == 1 and len(grams) > 200
-    order, grams, n = lm_scoring.bounded_grams(learned, most=400)
-    assert 1 < order < ppm.ORDER and len(grams) <= 400
-    want = ppm.count(np.concatenate([ppm.codes(ppm.framed(ppm_text(r.text), order), order) for r in odd.select("text").collect()]))
-    assert dict(zip(*(x.tolist() for x in ppm.count(grams, n)))) == dict(zip(*(x.tolist() for x in want)))
+    texts = [ppm_text(r.text) for r in odd.select("text").collect()]
+    want = {k: ppm.count(np.concatenate([ppm.codes(ppm.framed(t, k), k) for t in texts])) for k in range(1, ppm.ORDER + 1)}
+    for k in (2, 3, ppm.ORDER):
+        order, grams, n = lm_scoring.bounded_grams(learned, most=len(want[k][0]))
+        assert order == k
+        assert all(np.array_equal(x, y) for x, y in zip(ppm.count(grams, n), want[k]))
 
 
 def test_lm_empty(spark, empty):
