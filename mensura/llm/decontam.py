@@ -24,8 +24,8 @@ PASS_SHINGLES = 1 << 19
 TABLE_ITEMS = 256
 #: Window starts that are fingerprinted at once.
 STARTS = 4096
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 20
+#: Words whose hashes a worker remembers, over all blocks and passes.
+REMEMBERED = 1 << 18
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—·¿¡"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -42,6 +42,9 @@ class _Words(dict):
         return h
 
 
+_known = _Words()
+
+
 def word_hashes(text: str | None, known: _Words) -> np.ndarray:
     """Hashes of the lower-cased words without outer punctuation, in order."""
     words = (text or "").lower().split()
@@ -148,7 +151,6 @@ class Items:
         self.own = [shingles(h, w) for (_, h), w in zip(rows, self.width.tolist())]
         self.prints = np.array([simhash(s) for s in self.own], np.uint64)
         self.tables: dict[int, HammingTable] = {}
-        self.known = _Words()
         self.by_width = {}
         for w in np.unique(self.width).tolist():
             mine = np.flatnonzero(self.width == w)
@@ -163,7 +165,7 @@ class Items:
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.tables, self.known = {}, _Words()
+        self.tables = {}
         for w, (_, a, b) in self.by_width.items():
             seen = np.zeros(1 << 22, bool)
             seen[(a & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -176,7 +178,7 @@ class Items:
 
     def find(self, text: str | None) -> list[tuple[object, float, int, int]]:
         """(item id, similarity, first word, distance) of the best window for each item found, by item order."""
-        h = word_hashes(text, self.known)
+        h = word_hashes(text, _known)
         best: dict[int, tuple[float, int, int]] = {}
         for w, (seen, hashes, owner) in self.by_width.items():
             s = shingles(h, w)
@@ -222,9 +224,9 @@ class Items:
 
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
     """The benchmark in blocks of bounded size. Items without words can't be found and are left out."""
-    known, rows, held = _Words(), [], 0
+    rows, held = [], 0
     for r in benchmark.select(id_col, text_col).toLocalIterator():
-        h = word_hashes(r[1], known)
+        h = word_hashes(r[1], _known)
         if len(h):
             rows.append((r[0], h))
             held += len(h)
