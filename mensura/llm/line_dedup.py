@@ -17,6 +17,12 @@ MINIMA = 9
 BANDS = tuple((a, b, c) for a in range(9) for b in range(a + 1, 9) for c in range(b + 1, 9) if all((p + q + r) % 3 == 0 for p, q, r in zip(*(divmod(i, 3) for i in (a, b, c)))))
 #: Words of the bit map by which lines that aren't candidates are passed over; a fixed size, whatever the corpus.
 MAP_WORDS = 1 << 18
+#: Words of 64 bits in a line's odd sketch.
+SKETCH = 16
+#: Lines of a bucket that its others are compared with, before all that are left open are compared with each other.
+PIVOTS = 8
+#: Times that labels are spread over links before pairs are made.
+HOPS = 3
 
 
 def _mask(i: int) -> int:
@@ -45,53 +51,119 @@ def signatures(found: DataFrame) -> DataFrame:
     wide = found.select("h", _wide(F.col("line")).alias("w"))
     each = wide.select("h", "w", F.explode(F.sequence(F.lit(0), _last(F.col("w")))).alias("i"))
     hashed = each.select("h", F.xxhash64(F.expr(f"substring(w, 2 * i + 1, {2 * CHARS})")).alias("s"))
-    return hashed.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(MINIMA)])
+    return hashed.groupBy("h").agg(*_minima())
+
+
+def _band_keys():
+    return [F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)]
+
+
+def _minima():
+    return [F.min(F.col("s").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(MINIMA)]
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(key, h, pivot) for lines that share a band with another: pivot is the least line of the bucket."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)])
-    banded = signed.select("h", F.explode(keys).alias("key"))
+    """(key, band, h, pivot, n) for lines that share a band with another: pivot is the least of the bucket's n lines."""
+    banded = signed.select("h", F.posexplode(F.array(*_band_keys())).alias("band", "key"))
     w = Window.partitionBy("key")
-    return banded.select("key", "h", F.min("h").over(w).alias("pivot"), F.max("h").over(w).alias("top")).where("pivot <> top").drop("top")
+    return banded.select("key", "band", "h", F.min("h").over(w).alias("pivot"), F.count("*").over(w).alias("n")).where("n > 1")
 
 
 def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the wanted lines, each once. A bit map passes over most others before the shuffle."""
+    """(h, line) of the wanted lines (distinct h), each once. A bit map passes over most other lines before the shuffle."""
     bits = wanted.select(F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     mapped = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     word = F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS))
     likely = found.select("h", "line", word.alias("word")).join(F.broadcast(mapped), "word").where("(shiftright(bits, cast(h & 63 as int)) & 1) = 1")
-    return likely.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    return likely.select("h", "line").join(wanted, "h").groupBy("h").agg(F.min("line").alias("line"))
+
+
+def _shingles(rows: DataFrame, *names: str) -> DataFrame:
+    """The named lines as arrays of shingle hashes. Step by step, so that a line is encoded once, not for each shingle."""
+    def each(n):
+        return F.transform(F.sequence(F.lit(0), _last(F.col(n))), lambda i: F.xxhash64(F.substring(F.col(n), 2 * i + 1, F.lit(2 * CHARS))))
+
+    wide = rows.withColumns({n: _wide(F.col(n)) for n in names})
+    return wide.withColumns({n: each(n) for n in names})
+
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """(h, size, o0 .., k0 ..): the number of different shingles, the parity of how many of them hash to each of its bits, and the band keys."""
+    each = _shingles(texts.withColumnRenamed("line", "a"), "a").select("h", F.explode(F.array_distinct("a")).alias("s"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(s, 8) & 63 as int))")
+    words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(SKETCH - 1)) == k, bit).otherwise(F.lit(0))).alias(f"o{k}") for k in range(SKETCH)]
+    return each.groupBy("h").agg(F.count("*").alias("size"), *words, *_minima()).select("h", "size", *(f"o{k}" for k in range(SKETCH)), *(k.alias(f"k{b}") for b, k in enumerate(_band_keys())))
 
-def _shingles(line):
-    wide = _wide(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(wide)), lambda i: F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * CHARS)))))
 
+def _possible(x: str, y: str):
+    """Whether two lines can be similar. Each shingle that only one of them has changes one bit of the sketches' difference, so
+    that has no more bits than there are such shingles; at a similarity of 0.8 these are a ninth of both sizes at most."""
+    bits = sum((F.bit_count(F.col(f"{x}.o{k}").bitwiseXOR(F.col(f"{y}.o{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{x}.o0").bitwiseXOR(F.col(f"{y}.o0"))))
+    return bits * (1 + SIMILARITY) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (1 - SIMILARITY) + 1e-6
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, similar) for pairs (u, v): whether the exact Jaccard similarity of their shingle sets is enough."""
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose exact Jaccard similarity, of their sets of shingles, is enough."""
     both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
-    sets = both.select("u", "v", _shingles(F.col("a")).alias("a"), _shingles(F.col("b")).alias("b"))
-    shared = sets.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("n"))
-    return shared.select("u", "v", (F.col("n") >= (F.col("na") + F.col("nb") - F.col("n")) * SIMILARITY).alias("similar"))
+    sets = _shingles(both, "a", "b").select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), F.size(F.array_union("a", "b")).alias("all"))
+    found = written(sets.select("u", "v", (F.col("n") >= F.col("all") * SIMILARITY).alias("similar")), "line-pairs")
+    return found.where("similar").select("u", "v")
+
+
+def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """members with a label: lines of one label are connected (those of different labels may be, too). A line without links is its own.
+
+    Labels are least neighbours, followed and spread a few times; full components would take more rounds.
+    """
+    both = cut(linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+
+    def followed(labels):
+        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        return labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+
+    labels = followed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")))
+    for _ in range(HOPS):
+        spread = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("other"))
+        labels = followed(cut(labels.join(spread, F.col("node") == F.col("u")).select("node", F.least("label", "other").alias("label"))))
+    labels = labels.withColumnRenamed("node", "h")
+    return members.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
 
 
 def edges(found: DataFrame) -> DataFrame:
     """(u, v) between distinct lines: links whose components are those of all candidate pairs that are similar.
 
-    Each line of a bucket is compared with the bucket's pivot. Lines linked to the pivot are connected, whatever
-    links there are between them; so only the others are compared with all lines of their bucket.
+    First all lines of a bucket are compared with one of them; a bucket of two is done with that, and so is one
+    that is known to be connected now. In the others, lines are compared with a few pivots more, and at last with
+    each other: always only lines that aren't known to be connected and whose sketches leave a similarity of 0.8
+    possible. Neither condition loses a link that would connect anything, and a bucket of many like lines is
+    connected before its pairs are made.
     """
     bucket = written(buckets(signatures(found)), "line-buckets")
     texts = written(texts_of(found, bucket.select("h").distinct()), "line-texts")
-    first = written(verified(bucket.where("h <> pivot").select(F.col("pivot").alias("u"), F.col("h").alias("v")).distinct(), texts), "line-pairs")
-    apart = first.where("not similar").select(F.col("u").alias("pivot"), F.col("v").alias("h"))
-    lone = bucket.join(apart, ["pivot", "h"]).select("key", "pivot", F.col("h").alias("x"))
-    more = lone.join(bucket.select("key", F.col("h").alias("y")), "key").where("x <> y and y <> pivot").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    second = verified(more.join(first, ["u", "v"], "left_anti"), texts)
-    return first.where("similar").select("u", "v").unionByName(second.where("similar").select("u", "v"))
+    star = bucket.where("h <> pivot").select(F.col("pivot").alias("u"), F.col("h").alias("v")).distinct()
+    linked = similar(star, texts)
+    labelled = _labelled(bucket.where("n > 2").select("key", "band", "h"), linked)
+    w = Window.partitionBy("key")
+    open_ = labelled.withColumns({"_a": F.min("label").over(w), "_b": F.max("label").over(w)}).where("_a <> _b").drop("_a", "_b")
+    open_ = written(open_, "line-open")
+    sketched = sketches(texts.join(open_.select("h").distinct(), "h", "left_semi"))
+    members = written(open_.join(sketched, "h"), "line-members")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("h"), "h"))
+    pivots = members.withColumn("place", place).where(F.col("place") <= PIVOTS).drop("place")
+    linked = linked.unionByName(similar(_unconnected(members, pivots).distinct(), texts))
+    labelled = _labelled(members.drop("label"), linked)
+    met = [(F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}")) for b in range(len(BANDS) - 1)]
+    before = met[0]
+    for m in met[1:]:
+        before = before | m
+    return linked.unionByName(similar(_unconnected(labelled, labelled, (F.col("x.h") < F.col("y.h")) & ~before), texts))
+
+
+def _unconnected(left: DataFrame, right: DataFrame, further=None) -> DataFrame:
+    """(u, v), u before v: pairs of a bucket that aren't known to be connected and may be similar."""
+    where = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")
+    pairs = left.alias("x").join(right.alias("y"), where if further is None else where & further)
+    return pairs.select(F.least("x.h", "y.h").alias("u"), F.greatest("x.h", "y.h").alias("v"))
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
