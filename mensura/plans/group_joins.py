@@ -44,11 +44,13 @@ def interp_asof(spark, d):
     return _rounded(joins.interpolated(p.where(_LEFT), p.where(_RIGHT).select("capture", "t", F.col("x").alias("v")), "capture", "pose"), "v")
 
 
-_CLOUD = "SELECT seq AS id, max(x) AS x, max(y) AS y, max(z) AS z FROM v_points WHERE seq % 16 < 4 GROUP BY seq"
+#: Blocks of points lie side by side, so that the cloud grows in extent, not in density.
+_CLOUD = "SELECT seq AS id, max(x) + CAST(seq // 8000 AS DOUBLE) * 6 AS x, max(y) AS y, max(z) AS z FROM v_points WHERE seq % 16 < 4 GROUP BY seq"
 
 
 def _cloud(spark, d, part):
-    return points(spark, d).where("seq % 16 < 4").groupBy(F.col("seq").alias("id")).agg(*[F.max(c).alias(c) for c in "xyz"]).where(F.col("id") % 2 == part)
+    cloud = points(spark, d).where("seq % 16 < 4").groupBy(F.col("seq").alias("id")).agg(*[F.max(c).alias(c) for c in "xyz"]).where(F.col("id") % 2 == part)
+    return cloud.withColumn("x", F.col("x") + F.expr("CAST(id div 8000 AS DOUBLE) * 6"))
 
 
 _NN = f"""SELECT id, rid, d2, row_number() OVER (PARTITION BY id ORDER BY d2, rid) AS k FROM (SELECT a.id, b.id AS rid, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM ({_CLOUD}) a JOIN ({_CLOUD}) b ON a.id % 2 = 0 AND b.id % 2 = 1
