@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
 from .common import cut, short_batches, text_remainder, written
 
-#: Words whose counts every worker holds; all others are looked up by a join. And a bound on the trie's grams.
+#: Words whose counts every worker holds; all others are looked up by a join. And a bound on the grams of the trie
+#: that a worker holds: a larger trie is gone through in blocks, a pass over the documents each.
 HEAD_WORDS = 1 << 18
 MAX_GRAMS = 1 << 24
 #: What a task gathers before it hands it on.
@@ -81,8 +82,8 @@ def counts(texts: DataFrame, order: int = ppm.ORDER) -> DataFrame:
 class Model:
     """What is broadcast: plain arrays. A worker builds the trie and the words' table once, when it first needs them."""
 
-    def __init__(self, order: int, grams: np.ndarray, n: np.ndarray, words: pa.Table, bottom: float):
-        self.order, self.grams, self.n, self.words, self.bottom = order, grams, n, words, bottom
+    def __init__(self, order: int, grams: np.ndarray, n: np.ndarray, words: pa.Table, bottom: float, block: ppm.Block | None = None):
+        self.order, self.grams, self.n, self.words, self.bottom, self.block = order, grams, n, words, bottom, block
         self.built = None
 
     def __getstate__(self):
@@ -91,20 +92,62 @@ class Model:
     def ready(self) -> tuple[ppm.Trie, dict[bytes, float]]:
         if self.built is None:
             p = np.log10((self.words.column(1).to_numpy() + 0.5) / self.bottom).tolist()
-            self.built = (ppm.Trie(*ppm.count(self.grams, self.n), self.order), dict(zip(self.words.column(0).to_pylist(), p)))
-            self.grams = self.n = self.words = None
+            self.built = (ppm.Trie(*ppm.count(self.grams, self.n), self.order, self.block), dict(zip(self.words.column(0).to_pylist(), p)))
+            self.grams = self.n = self.words = self.block = None
         return self.built
 
 
+def _arrays(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = grams.toArrow()
+    return got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+
+
 def bounded_grams(learned: DataFrame, order: int = ppm.ORDER, most: int = MAX_GRAMS) -> tuple[int, np.ndarray, np.ndarray]:
-    """(order, grams, counts). Their number is checked before they are collected: if they are too many to be
-    held by each worker, the order is lowered until they fit (texts are all still counted and scored)."""
+    """(order, grams, counts) of the highest order whose grams number at most `most`: a smaller model, for callers that
+    want one they can hold whole. Scoring doesn't use it; it goes through blocks of the trie instead."""
     grams = learned.where(F.col("gram").isNotNull()).select("gram", "n")
     while order > 1 and grams.count() > most:
         order -= 1
         grams = cut(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
-    got = grams.toArrow()
-    return order, got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    return order, *_arrays(grams)
+
+
+def _last(back: int):
+    """The last `back` bytes of a gram's context."""
+    return F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * back) - 1))
+
+
+def blocks_of(grams: DataFrame, order: int, most: int) -> tuple[int, list[int]]:
+    """(back, starts): the blocks into which the trie is cut, by the last `back` bytes of its contexts; each has at most
+    `most` grams, unless one context of full length has more. (0, [0]) if the trie is a single block."""
+    if grams.count() <= most:
+        return 0, [0]
+    for back in range(min(2, order), order + 1):
+        sizes = cut(grams.groupBy(_last(back).alias("key")).count())
+        if back == order or sizes.agg(F.max("count")).first()[0] <= most:
+            break
+    got = sizes.orderBy("key").toArrow()
+    starts, held = [0], 0
+    for key, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        if held and held + n > most:
+            starts.append(key)
+            held = 0
+        held += n
+    return back, starts
+
+
+def models(learned: DataFrame, order: int, most: int, top: pa.Table, bottom: float):
+    """The models of the passes over the documents, made one at a time; the words are in the first."""
+    grams = learned.where(F.col("gram").isNotNull()).select("gram", "n")
+    back, starts = blocks_of(grams, order, most)
+    if not back:
+        yield Model(order, *_arrays(grams), top, bottom)
+        return
+    shorter = _arrays(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * back) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
+    shorter = ppm.count(*shorter)
+    for start, stop in zip(starts, [*starts[1:], 1 << 8 * back]):
+        own = grams.where((_last(back) >= start) & (_last(back) < stop))
+        yield Model(order, *_arrays(own), top if not start else top.slice(0, 0), bottom, ppm.Block(back, start, stop, *shorter))
 
 
 def head_threshold(words: DataFrame, most: int = HEAD_WORDS) -> int:
@@ -120,13 +163,14 @@ def head_threshold(words: DataFrame, most: int = HEAD_WORDS) -> int:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1,
-                    order: int = ppm.ORDER, head: int = HEAD_WORDS) -> DataFrame:
+                    order: int = ppm.ORDER, head: int = HEAD_WORDS, most: int = MAX_GRAMS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both models learn from all documents whose fold isn't the held-out one. score is the PPM's log10
     probability of the words, joined by single spaces, and their end. A null or empty text has one token,
     its end. If nothing can be learned from, base_score uses counts of zero and the PPM is uniform.
     Repeated rows each give a row and count each; a null id is never held out; other columns aren't read.
+    A trie of more than `most` grams is gone through in blocks, a pass over the documents each; a score is the sum over them.
     """
     spark = docs.sparkSession
     remainder = text_remainder(id_col, fold)
@@ -136,34 +180,57 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bottom = total + 0.5 * (distinct + 1)
     least = head_threshold(words, head)
     top = words.where(F.col("n") >= least).toArrow()
-    model = spark.sparkContext.broadcast(Model(*bounded_grams(learned, order), top, bottom))
     kind = docs.schema[id_col].dataType.simpleString()
     short_batches(spark)
 
-    def run(batches):
-        trie, known = model.value.ready()
-        get = known.get
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for t in b.column(1).to_pylist():
-                found = words_of(t)
-                tail, base, n_known = [], 0.0, 0
-                for w in [*found, END]:
-                    p = get(w)
-                    if p is None:
-                        tail.append(w)
-                    else:
-                        base += p
-                        n_known += 1
-                for column, x in zip(out, (row, len(found) + 1, n_known, base, trie.score(coded(found)), tail)):
-                    column.append(x)
-                row += 1
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(out, types))], ["id", "held_out", "row", "n_tokens", "known", "base", "score", "tail"])
+    def scored_by(model):
+        def run(batches):
+            trie, known = model.value.ready()
+            get = known.get
+            for b in batches:
+                out: list[list] = [[] for _ in range(5)]
+                for t in b.column(1).to_pylist():
+                    found = words_of(t)
+                    tail, base, n_known = [], 0.0, 0
+                    for w in [*found, END]:
+                        p = get(w)
+                        if p is None:
+                            tail.append(w)
+                        else:
+                            base += p
+                            n_known += 1
+                    for column, x in zip(out, (len(found) + 1, n_known, base, trie.score(coded(found)), tail)):
+                        column.append(x)
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array(c, k) for c, k in zip(out, types))], ["id", "held_out", "row", "n_tokens", "known", "base", "score", "tail"])
+
+        return run
+
+    def more_by(model):
+        def run(batches):
+            trie, _ = model.value.ready()
+            for b in batches:
+                out = [trie.score(coded(words_of(t))) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["row", "part"])
+
+        return run
 
     schema = f"id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, tail array<binary>"
-    scored = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (remainder == held).alias("held_out")).mapInArrow(run, schema), "lm-scored")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (remainder == held).alias("held_out"), F.monotonically_increasing_id().alias("row"))
+    scored, parts = None, []
+    for made in models(learned, order, most, top, bottom):
+        if scored is None and made.block:
+            texts = written(texts, "lm-texts")
+        model = spark.sparkContext.broadcast(made)
+        del made
+        if scored is None:
+            scored = written(texts.mapInArrow(scored_by(model), schema), "lm-scored")
+        else:
+            parts.append(written(texts.select("row", "t").mapInArrow(more_by(model), "row long, part double"), "lm-part"))
+        model.destroy()
+    if parts:
+        rest = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("part").alias("part"))
+        scored = scored.join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0))).drop("part")
     rare = words.where(F.col("n") < least)
     tails = scored.select("row", F.explode("tail").alias("word")).join(rare, "word", "left")
     c = F.coalesce("n", F.lit(0))

@@ -114,14 +114,29 @@ class _Level:
         return np.repeat(np.arange(len(self.contexts)), self.distinct)
 
 
+class Block:
+    """Part of a trie: the contexts whose last `back` bytes, as a number, are in [start, stop). Their suffixes of `back`
+    bytes and more are in the same part; shorter contexts aren't, so the part has the counts of all grams of `back` bytes."""
+
+    def __init__(self, back: int, start: int, stop: int, grams: np.ndarray, n: np.ndarray):
+        self.back, self.start, self.stop = back, np.uint64(start), np.uint64(stop)
+        self.grams, self.n = grams, n
+
+    def own(self, grams: np.ndarray) -> np.ndarray:
+        key = (grams >> np.uint64(8)) & _mask(self.back)
+        return grams[(key >= self.start) & (key < self.stop)]
+
+
 class Trie:
     """A pretrained model: for any bytes, their log10 probability. Counts of grams in, nothing else."""
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int = ORDER):
-        """grams: distinct codes in order, with their counts."""
-        self.order = order
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int = ORDER, block: Block | None = None):
+        """grams: distinct codes in order, with their counts; with a block, those of its contexts only."""
+        self.order, self.block = order, block
         self.levels: list[_Level] = [None] * (order + 1)
         for k in range(order, -1, -1):
+            if block and k == block.back - 1:
+                grams, n = block.grams, block.n
             self.levels[k] = _Level(grams, n)
             if k:
                 grams, n = count(grams & _mask(k), n)
@@ -184,11 +199,12 @@ class Trie:
         return out
 
     def score(self, text: bytes) -> float:
-        """log10 probability of the text and its end."""
+        """log10 probability of the text and its end; of a part of a trie, that of the bytes after its contexts."""
         data = framed(text, self.order)
         total = 0.0
         for i in range(0, len(data) - self.order, CHUNK):
-            total += float(self.log10(codes(data[i : i + CHUNK + self.order], self.order)).sum())
+            grams = codes(data[i : i + CHUNK + self.order], self.order)
+            total += float(self.log10(self.block.own(grams) if self.block else grams).sum())
         return total
 
 

@@ -212,6 +212,32 @@ def test_lm_lower_order_where_the_trie_is_too_large(spark, odd):
         assert all(np.array_equal(x, y) for x, y in zip(ppm.count(grams, n), want[k]))
 
 
+@pytest.mark.parametrize("most", [60, 4000])
+def test_lm_scores_do_not_depend_on_the_blocks_of_the_trie(spark, odd, most):
+    learned = lm_scoring.counts(odd.select("text")).where("gram is not null").select("gram", "n").cache()
+    back, starts = lm_scoring.blocks_of(learned, ppm.ORDER, most)
+    assert back and len(starts) > 1
+    few = odd.where("doc_id is null or doc_id not in (7, 8)") if most == 60 else odd
+    rows = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in df.collect())
+    whole, blocks = rows(lm_scoring.score_documents(few)), rows(lm_scoring.score_documents(few, most=most))
+    assert [r[:5] for r in blocks] == [r[:5] for r in whole]
+    assert [x for r in blocks for x in r[5:]] == pytest.approx([x for r in whole for x in r[5:]], rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("back", [1, 2, 3, 5])
+def test_ppm_blocks_brute_force(back):
+    texts, text = [b"the cat sat on the mat", b"a cat and the dog sat", b""], b"the dog and that mat \xc3\xa9"
+    grams, n = ppm.count(np.concatenate([ppm.codes(ppm.framed(t)) for t in texts]))
+    shorter = ppm.count(grams & ppm._mask(back), n)
+    key = (grams >> np.uint64(8)) & ppm._mask(back)
+    cuts = [0, *np.unique(key)[2::3].tolist(), 1 << 8 * back]
+    got = 0.0
+    for start, stop in zip(cuts, cuts[1:]):
+        own = (key >= np.uint64(start)) & (key < np.uint64(stop))
+        got += ppm.Trie(grams[own], n[own], block=ppm.Block(back, start, stop, *shorter)).score(text)
+    assert got == pytest.approx(Plain(texts, ppm.ORDER).score(text), abs=1e-4)
+
+
 def test_lm_empty(spark, empty):
     assert lm_scoring.score_documents(empty).count() == 0
     nothing = lm_scoring.score_documents(spark.createDataFrame([(3, "a b")], "doc_id long, text string").where("doc_id = 3"), fold=5, held=zlib.crc32(b"3") % 5).collect()
