@@ -415,15 +415,34 @@ def icp(source: np.ndarray, target: np.ndarray, normals: np.ndarray, reach: floa
     return float(yaw), shift, len(used) / len(source), float(np.sqrt((r * r).mean()))
 
 
+def _tridiagonal(diagonal: np.ndarray, upper: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves a symmetric block-tridiagonal system: blocks of the diagonal, blocks above it, right side by block."""
+    n = len(diagonal)
+    d, r = diagonal.copy(), right.copy()
+    for k in range(1, n):
+        f = np.linalg.solve(d[k - 1], upper[k - 1]).T
+        d[k] -= f @ upper[k - 1]
+        r[k] -= f @ r[k - 1]
+    out = np.empty_like(r)
+    for k in range(n - 1, -1, -1):
+        out[k] = np.linalg.solve(d[k], r[k] - upper[k] @ out[k + 1] if k + 1 < n else r[k])
+    return out
+
+
 def pose_graph(n: int, edges: list[tuple[int, int, float, float, float, float]], rounds: int = 12, cauchy: float = 4.0) -> np.ndarray:
-    """Positions (x, z, yaw) of n poses from relative ones (i, j, dx, dz, dyaw, sigma), the first fixed; Gauss-Newton with Cauchy weights."""
+    """Positions (x, z, yaw) of n poses from relative ones (i, j, dx, dz, dyaw, sigma), the first fixed; Gauss-Newton with Cauchy weights.
+
+    If edges join neighbours or start at the first pose, a round takes time in proportion to n; otherwise it's a dense solve.
+    """
     p = np.zeros((n, 3))
     for i, j, dx, dz, da, _ in edges:
         if j == i + 1:
             c, s = np.cos(p[i, 2]), np.sin(p[i, 2])
             p[j] = p[i] + [c * dx - s * dz, s * dx + c * dz, da]
+    linear = all(j == i + 1 or i == 0 for i, j, *_ in edges)
     for _ in range(rounds):
-        h, g = np.zeros((3 * n, 3 * n)), np.zeros(3 * n)
+        diagonal, upper, g = np.zeros((n, 3, 3)), np.zeros((n, 3, 3)), np.zeros((n, 3))
+        h = None if linear else np.zeros((3 * n, 3 * n))
         for i, j, dx, dz, da, sigma in edges:
             c, s = np.cos(p[i, 2]), np.sin(p[i, 2])
             d = p[j, :2] - p[i, :2]
@@ -432,34 +451,40 @@ def pose_graph(n: int, edges: list[tuple[int, int, float, float, float, float]],
             ji = np.array([[-c, -s, local[1]], [s, -c, -local[0]], [0, 0, -1]]) / sigma
             jj = np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]]) / sigma
             w = 1.0 if j == i + 1 else 1 / (1 + (e @ e) / cauchy**2)
-            a, b = slice(3 * i, 3 * i + 3), slice(3 * j, 3 * j + 3)
-            h[a, a] += w * ji.T @ ji
-            h[b, b] += w * jj.T @ jj
-            h[a, b] += w * ji.T @ jj
-            h[b, a] += w * jj.T @ ji
-            g[a] += w * ji.T @ e
-            g[b] += w * jj.T @ e
-        step = np.zeros(3 * n)
-        step[3:] = np.linalg.solve(h[3:, 3:] + 1e-9 * np.eye(3 * n - 3), -g[3:])
-        p += step.reshape(n, 3)
+            diagonal[i] += w * ji.T @ ji
+            diagonal[j] += w * jj.T @ jj
+            g[i] += w * ji.T @ e
+            g[j] += w * jj.T @ e
+            if not linear:
+                a, b = slice(3 * i, 3 * i + 3), slice(3 * j, 3 * j + 3)
+                h[a, b] += w * ji.T @ jj
+                h[b, a] += w * jj.T @ ji
+            elif j == i + 1:
+                upper[i] += w * ji.T @ jj
+        step = np.zeros((n, 3))
+        if linear:
+            step[1:] = _tridiagonal(diagonal[1:] + 1e-9 * np.eye(3), upper[1:], -g[1:])
+        else:
+            for k in range(n):
+                h[3 * k : 3 * k + 3, 3 * k : 3 * k + 3] += diagonal[k]
+            step[1:] = np.linalg.solve(h[3:, 3:] + 1e-9 * np.eye(3 * n - 3), -g[1:].ravel()).reshape(n - 1, 3)
+        p += step
         if np.abs(step).max() < 1e-9:
             break
     return p
 
 
-def corrected_paths(poses: DataFrame, most: int = 40) -> DataFrame:
-    """Pose graph of each capture from steps and one closing loop; poses beyond the first `most` keep the last correction."""
+def corrected_paths(poses: DataFrame) -> DataFrame:
+    """Pose graph of each capture: all its poses, from steps and one loop that closes from the last pose to the first."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "pose"]).reset_index(drop=True)
-        head = pdf.head(most)
-        xz = head[["x", "z"]].to_numpy()
-        n = len(head)
+        xz = pdf[["x", "z"]].to_numpy()
+        n = len(pdf)
         steps = [(i, i + 1, *(xz[i + 1] - xz[i]), 0.0, 0.05) for i in range(n - 1)]
         loop = [(0, n - 1, *(xz[n - 1] - xz[0] + 0.02), 0.0, 0.05)] if n > 3 else []
         p = pose_graph(n, steps + loop) if n > 1 else np.zeros((1, 3))
         moved = p[:, :2] + xz[0] - xz
-        full = np.vstack([moved, np.repeat(moved[-1:], len(pdf) - n, 0)])
-        return pd.DataFrame({"capture": pdf["capture"], "pose": pdf["pose"], "dx": np.round(full[:, 0], 6), "dz": np.round(full[:, 1], 6)})
+        return pd.DataFrame({"capture": pdf["capture"], "pose": pdf["pose"], "dx": np.round(moved[:, 0], 6), "dz": np.round(moved[:, 1], 6)})
 
     return poses.select("capture", "pose", "t", "x", "z").groupBy("capture").applyInPandas(run, "capture long, pose long, dx double, dz double")
 

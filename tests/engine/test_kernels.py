@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mensura.operators import kernels as K
+from mensura.plans import catalogue
+from mensura.plans.adapters import poses
 
 
 @settings(max_examples=60, deadline=None)
@@ -138,6 +140,48 @@ def test_pose_graph_closes_a_loop():
     assert np.hypot(*closed[4, :2]) < np.hypot(*open_[4, :2]) and np.hypot(*closed[4, :2]) < 0.01
 
 
+def dense_path(xz):
+    """All poses of a capture, residuals by one matrix of numeric derivatives."""
+    n = len(xz)
+    pairs = [(i, i + 1) for i in range(n - 1)] + ([(0, n - 1)] if n > 3 else [])
+    want = np.array([xz[j] - xz[i] + (0.02 if j != i + 1 else 0.0) for i, j in pairs])
+    i, j = np.array(pairs).T
+
+    def residuals(q):
+        p = np.vstack([np.zeros(3), q.reshape(-1, 3)])
+        c, s = np.cos(p[i, 2]), np.sin(p[i, 2])
+        d = p[j, :2] - p[i, :2]
+        return np.column_stack([c * d[:, 0] + s * d[:, 1] - want[:, 0], -s * d[:, 0] + c * d[:, 1] - want[:, 1], p[j, 2] - p[i, 2]]) / 0.05
+
+    q = np.column_stack([xz[1:] - xz[0], np.zeros(n - 1)]).ravel()
+    for _ in range(12):
+        e = residuals(q)
+        w = np.where(j == i + 1, 1.0, 1 / (1 + (e * e).sum(1) / 16))
+        jac = np.column_stack([(residuals(q + h) - residuals(q - h)).ravel() / 2e-6 for h in 1e-6 * np.eye(len(q))])
+        ws = np.repeat(w, 3)
+        q = q - np.linalg.solve(jac.T @ (jac * ws[:, None]) + 1e-9 * np.eye(len(q)), jac.T @ (ws * e.ravel()))
+    return np.vstack([np.zeros(2), q.reshape(-1, 3)[:, :2]]) + xz[0] - xz
+
+
+def test_pose_graph_query_solves_whole_captures(spark, sf):
+    got = {(r.capture, r.pose): (r.dx, r.dz) for r in catalogue.QUERIES["pose_graph"](spark, sf).collect()}
+    paths = poses(spark, sf).select("capture", "pose", "t", "x", "z").toPandas().sort_values(["t", "pose"])
+    assert len(got) == len(paths)
+    sizes = paths.groupby("capture").size().sort_values()
+    assert sizes.iloc[-1] > 40
+    for capture in [*sizes.index[:2], *sizes.index[-3:]]:
+        own = paths[paths["capture"] == capture]
+        assert np.array([got[capture, k] for k in own["pose"]]) == pytest.approx(dense_path(own[["x", "z"]].to_numpy()), abs=5e-6)
+
+
+def test_pose_graph_linear_is_the_dense_solve():
+    rng = np.random.default_rng(5)
+    steps = [(i, i + 1, *rng.normal(0, 1, 2), rng.normal(0, 0.1), 0.05) for i in range(60)]
+    loop = (0, 60, 0.1, -0.2, 0.3, 0.05)
+    same = K.pose_graph(61, [*steps, loop, (3, 9, 0.0, 0.0, 0.0, 1e9)])
+    assert K.pose_graph(61, [*steps, loop]) == pytest.approx(same, abs=1e-6)
+
+
 def test_cover_and_stitch():
     views = {1: {1, 2, 3}, 2: {3, 4}, 3: {1, 2}, 4: {4}}
     picked = K.cover(views, 1)
