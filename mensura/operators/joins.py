@@ -33,16 +33,31 @@ def interpolated(left: DataFrame, knots: DataFrame, key: str, left_id: str = "id
     return got.select(key, left_id, "t", value.alias("v"))
 
 
-def nearest_points(left: DataFrame, right: DataFrame, radius: float, k: int = 1) -> DataFrame:
-    """The k nearest points of right within a radius, by way of 27 neighbouring voxels; ties to the least id."""
+def _near(left: DataFrame, right: DataFrame, radius: float, *keys: str) -> DataFrame:
+    """Pairs (keys, id, rid, d2) of points within a radius, by way of 27 neighbouring voxels."""
     cell = lambda c: F.floor(F.col(c) / radius)
     shifts = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("xyz", (a, b, c))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    probe = left.withColumn("_s", F.explode(shifts)).select(*left.columns, *[(cell(c) + F.col(f"_s.{c}")).alias(f"_{c}") for c in "xyz"])
-    held = right.select(F.col("id").alias("rid"), *[F.col(c).alias(f"r{c}") for c in "xyz"], *[cell(c).alias(f"_{c}") for c in "xyz"])
+    probe = left.withColumn("_s", F.explode(shifts)).select(*keys, "id", *"xyz", *[(cell(c) + F.col(f"_s.{c}")).alias(f"_{c}") for c in "xyz"])
+    held = right.select(*keys, F.col("id").alias("rid"), *[F.col(c).alias(f"r{c}") for c in "xyz"], *[cell(c).alias(f"_{c}") for c in "xyz"])
     gap = sum(((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in "yz"), (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")))
-    both = probe.join(held, ["_x", "_y", "_z"]).withColumn("d2", gap).where(F.col("d2") <= radius * radius)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "rid"))
-    return both.withColumn("k", place).where(F.col("k") <= k).select("id", "rid", F.sqrt("d2").alias("distance"), "k")
+    return probe.join(held, [*keys, "_x", "_y", "_z"]).withColumn("d2", gap).where(F.col("d2") <= radius * radius).select(*keys, "id", "rid", "d2")
+
+
+def nearest_points(left: DataFrame, right: DataFrame, radius: float, k: int = 1, *keys: str) -> DataFrame:
+    """The k nearest points of right within a radius, among those of equal keys; ties to the least id."""
+    place = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("d2", "rid"))
+    return _near(left, right, radius, *keys).withColumn("k", place).where(F.col("k") <= k).select(*keys, "id", "rid", F.sqrt("d2").alias("distance"), "k")
+
+
+def mirrored_share(points: DataFrame, planes: DataFrame, reach: float, least: float = 0.6) -> DataFrame:
+    """Share of the points before a plane (scene, axis, off) whose reflections meet a point behind it; a mirror, if `least` do."""
+    both = points.join(planes, "scene")
+    at = F.when(F.col("axis") == 0, F.col("x")).otherwise(F.col("z"))
+    turned = both.where(at < F.col("off")).select("scene", "id", *[F.when(F.col("axis") == a, 2 * F.col("off") - F.col(c)).otherwise(F.col(c)).alias(c) for c, a in (("x", 0), ("y", -1), ("z", 1))])
+    behind = both.where(at >= F.col("off")).select("scene", "id", *"xyz")
+    met = _near(turned, behind, reach, "scene").select("scene", "id").distinct().withColumn("hit", F.lit(1.0))
+    share = turned.join(met, ["scene", "id"], "left").groupBy("scene").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
+    return share.withColumn("mirror", F.col("share") >= least)
 
 
 def ray_plane(rays: DataFrame, edges: DataFrame, behind: float = 0.15, margin: float = 0.02) -> DataFrame:
@@ -167,22 +182,29 @@ def visible(views: DataFrame, surfaces: DataFrame) -> DataFrame:
 
 
 def assignment_cost(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Cost of calling a found room by a true one's name, per site: area off, relative, plus mean off of the four longest walls."""
+    """Cost of calling a found room by a true one's name, per site (site, room, area, lengths): the area's error as a share of the true one, and what
+    the four longest walls differ by, as a share of the first four true walls. A true room of unknown area: four times the mean share by
+    which its walls miss their nearest found one; 9 if there is none."""
     four = lambda c: F.slice(F.concat(F.sort_array(F.col(c), asc=False), F.array_repeat(F.lit(0.0), 4)), 1, 4)
-    t = truth.select("site", F.col("room").alias("t"), F.col("area").alias("ta"), four("lengths").alias("ts"))
-    p = found.select("site", F.col("room").alias("p"), F.col("area").alias("pa"), four("lengths").alias("ps"))
-    gaps = F.aggregate(F.zip_with("ts", "ps", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / 4
-    cost = F.abs(F.col("ta") - F.col("pa")) / F.greatest("ta", "pa") + gaps
-    return t.join(p, "site").select("site", "t", "p", cost.alias("cost"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    t = truth.select("site", F.col("room").alias("t"), F.col("area").alias("ta"), F.col("lengths").alias("tl"))
+    p = found.select("site", F.col("room").alias("p"), F.col("area").alias("pa"), F.col("lengths").alias("pl"))
+    both = t.join(p, "site").withColumns({"ts": four("tl"), "ps": four("pl")})
+    walls = total(F.zip_with("ts", "ps", lambda x, y: F.abs(x - y))) / F.greatest(total(F.slice("tl", 1, 4)), F.lit(1.0))
+    nearest = F.transform("tl", lambda x: F.array_min(F.transform("pl", lambda y: F.abs(x - y))) / x)
+    partial = F.when((F.size("tl") > 0) & (F.size("pl") > 0), 4 * total(nearest) / F.size("tl")).otherwise(F.lit(9.0))
+    cost = F.when(F.col("ta").isNull(), partial).otherwise(F.abs(F.col("pa") - F.col("ta")) / F.col("ta") + walls)
+    return both.select("site", "t", "p", cost.alias("cost"))
 
 
 def cyclic_alignments(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Sum of wall differences for each direction and shift in which a found outline may be read; both of n walls."""
+    """Sum of wall differences for each direction and shift in which a found outline may be read, both of n walls, and whether it is little over the best."""
     n = F.size("tl")
     both = truth.join(found, ["site", "room"]).where("size(tl) = size(pl)").withColumn("n", n)
     turned = both.withColumn("dir", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("shift", F.explode(F.expr("sequence(0, n - 1)")))
     gap = F.expr("aggregate(transform(sequence(0, n - 1), i -> abs(tl[i] - pl[cast(pmod(shift + dir * i, n) as int)])), 0.0D, (s, x) -> s + x)")
-    return turned.withColumn("cost", gap).select("site", "room", "dir", "shift", "cost", "n")
+    best = F.min("cost").over(Window.partitionBy("site", "room"))
+    return turned.withColumn("cost", F.round(gap, 9)).withColumn("near", F.col("cost") <= best + 0.02 * F.col("n")).select("site", "room", "dir", "shift", "cost", "n", "near")
 
 
 def door_pairs(doors: DataFrame, tolerance: float = 0.15, relative: float = 0.18) -> DataFrame:

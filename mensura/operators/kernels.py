@@ -53,48 +53,126 @@ def assign(costs: DataFrame, key: str, left: str, right: str, cost: str, below:
     return costs.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {left} {kinds[left]}, {right} {kinds[right]}, {cost} double")
 
 
+def alike(a: str, b: str) -> bool:
+    """Doors and open passages stand for each other."""
+    return a == b or {a, b} <= {"door", "open_passage"}
+
+
+def pair_openings(truth: list, found: list, wall_of: dict | None = None) -> list[tuple]:
+    """(true opening, found one, cost): true ones in order each take the nearest free one of their wall and kind, unless its width is too far
+    off; what is left of either side stands alone. Openings are (id, wall, kind, offset or None, width); wall_of maps true walls to
+    found ones, and an opening whose wall isn't in it may be on any. Without a map, walls have the same names."""
+    free, out = list(found), []
+    for t in truth:
+        on = [f for f in free if alike(f[2], t[2]) and (f[1] == t[1] if wall_of is None else t[1] not in wall_of or wall_of[t[1]] == f[1])]
+        near = [(abs(f[4] - t[4]) + (0.0 if t[3] is None else 0.5 * abs(f[3] - t[3])), k) for k, f in enumerate(on)]
+        best = on[min(near)[1]] if near else None
+        if best is None or abs(best[4] - t[4]) > max(0.25, 0.35 * t[4]):
+            out.append((t, None, None))
+        else:
+            free.remove(best)
+            out.append((t, best, min(near)[0]))
+    return out + [(None, f, None) for f in free]
+
+
 def match_openings(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Greedy pairs of openings on one wall and of one kind (doors and passages alike), best first; unpaired ones of
-    both sides are kept, with null on the other side."""
-    columns = ["opening", "room", "face", "kind", "off", "width"]
+    """pair_openings in each room (room, opening, face, kind, off, width), in order of the openings' numbers."""
+    columns = ["opening", "face", "kind", "off", "width"]
+
+    def rows(pdf: pd.DataFrame) -> list:
+        return [(o, f, k, None if pd.isna(off) else off, w) for o, f, k, off, w in pdf.sort_values("opening")[columns].itertuples(index=False)]
 
     def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        alike = lambda k: "door" if k in ("door", "open_passage") else k
-        options = sorted((abs(a.width - b.width) + 0.5 * abs(a.off - b.off), a.opening, b.opening) for a in t.itertuples() for b in p.itertuples()
-                         if alike(a.kind) == alike(b.kind) and abs(a.width - b.width) <= max(0.25, 0.35 * a.width))
-        used_t, used_p, rows = set(), set(), []
-        for c, a, b in options:
-            if a not in used_t and b not in used_p:
-                used_t.add(a)
-                used_p.add(b)
-                rows.append((*key, a, b, c))
-        rows += [(*key, a, None, None) for a in t["opening"] if a not in used_t] + [(*key, None, b, None) for b in p["opening"] if b not in used_p]
-        out = pd.DataFrame(rows, columns=["room", "face", "truth", "found", "cost"])
-        return out.astype({"truth": "Int64", "found": "Int64", "cost": "Float64"})
-
-    return truth.select(*columns).groupBy("room", "face").cogroup(found.select(*columns).groupBy("room", "face")).applyInPandas(run, "room int, face int, truth long, found long, cost double")
-
-
-def huber(values: np.ndarray, groups: np.ndarray | None = None, c: float = 2.5, rounds: int = 10) -> tuple[float, float, float]:
-    """(location, standard error, spread): Huber's estimate with a MAD scale. The error counts groups, not values,
-    and isn't less than the scatter of group means suggests."""
+        pairs = [(*key, a and a[0], b and b[0], c) for a, b, c in pair_openings(rows(t), rows(p))]
+        return pd.DataFrame(pairs, columns=["room", "truth", "found", "cost"]).astype({"truth": "Int64", "found": "Int64", "cost": "Float64"})
+
+    return truth.select("room", *columns).groupBy("room").cogroup(found.select("room", *columns).groupBy("room")).applyInPandas(run, "room int, truth long, found long, cost double")
+
+
+def align_walls(truth: list[float], found: list[float], agreement=None) -> list[int]:
+    """The found wall of each true one. Outlines of equal length are read around in one of 2n ways: of those whose walls differ by little
+    more than the best way's, the one under which most openings agree. Otherwise true walls in order take the nearest free one."""
+    n = len(truth)
+    if n != len(found):
+        free, out = set(range(len(found))), []
+        for t in truth:
+            if not free:
+                break
+            out.append(min(free, key=lambda i: (abs(found[i] - t), i)))
+            free.discard(out[-1])
+        return out
+    ways = [[(shift + step * i) % n for i in range(n)] for step, shifts in ((1, range(n)), (-1, range(n - 1, -1, -1))) for shift in shifts]
+    off = [sum(abs(found[k] - t) for k, t in zip(way, truth)) for way in ways]
+    near = [k for k in range(len(ways)) if off[k] <= min(off) + 0.02 * n]
+    return ways[max(near, key=lambda k: (agreement(ways[k]) if agreement else 0, -off[k]))] if n else []
+
+
+def match_room(truth_walls: list, found_walls: list, truth_openings: list, found_openings: list) -> tuple[list, list]:
+    """(pairs of walls, pairs of openings) of a room and the found room that stands for it. Walls are (id, length), in order around the room."""
+    def mapped(way):
+        return {t[0]: found_walls[k][0] for t, k in zip(truth_walls, way)}
+
+    def agreement(way):
+        return sum(a is not None and b is not None for a, b, _ in pair_openings(truth_openings, found_openings, mapped(way)))
+
+    way = align_walls([w[1] for w in truth_walls], [w[1] for w in found_walls], agreement)
+    return [(t, found_walls[k]) for t, k in zip(truth_walls, way)], pair_openings(truth_openings, found_openings, mapped(way))
+
+
+def match_plans(rooms: DataFrame, parts: DataFrame) -> DataFrame:
+    """(site, what, t_room, truth, found, t_value, f_value): walls and openings of rooms that are paired, with null where one has no partner.
+
+    rooms: (site, t, p) of the assignment; parts: (site, side, room, what, id, wall, kind, off, value), side being truth or found, what wall or
+    opening, value a wall's length or an opening's width. Openings of true rooms without a partner are all missed. A site is one problem.
+    """
+    columns = ["what", "t_room", "truth", "found", "t_value", "f_value"]
+
+    def run(key, pairs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        for r in items.sort_values("id").itertuples(index=False):
+            row = (r.id, r.value) if r.what == "wall" else (r.id, r.wall, r.kind, None if pd.isna(r.off) else r.off, r.value)
+            held.setdefault((r.side, r.room, r.what), []).append(row)
+        get = lambda side, room, what: held.get((side, room, what), [])
+        out, paired = [], dict(zip(pairs["t"], pairs["p"]))
+        for t in sorted({room for side, room, _ in held if side == "truth"}):
+            if t not in paired:
+                out += [("opening", t, o[0], None, o[4], None) for o in get("truth", t, "opening")]
+                continue
+            p = paired[t]
+            walls, openings = match_room(get("truth", t, "wall"), get("found", p, "wall"), get("truth", t, "opening"), get("found", p, "opening"))
+            out += [("wall", t, a[0], b[0], a[1], b[1]) for a, b in walls]
+            out += [("opening", t, a and a[0], b and b[0], a and a[4], b and b[4]) for a, b, _ in openings]
+        done = pd.DataFrame([(*key, *row) for row in out], columns=["site", *columns])
+        return done.astype({"truth": "Int64", "found": "Int64", "t_value": "Float64", "f_value": "Float64"})
+
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    schema = f"site {kinds['site']}, what string, t_room {kinds['room']}, truth long, found long, t_value double, f_value double"
+    return rooms.select("site", "t", "p").groupBy("site").cogroup(parts.groupBy("site")).applyInPandas(run, schema)
+
+
+def _spread(x: np.ndarray, at: float) -> float:
+    return 1.4826 * float(np.median(np.abs(x - at))) + 1e-6
+
+
+def huber(values: np.ndarray, groups: np.ndarray | None = None, weights: np.ndarray | None = None, c: float = 2.5, rounds: int = 10) -> tuple[float, float, float]:
+    """(location, standard error, spread): Huber's estimate with a MAD scale, which stays what it is around the median. Values of a group
+    aren't independent: from three groups on the error is that of the group means, but not less than that of all values alone."""
     x = np.asarray(values, float)
+    own = np.ones_like(x) if weights is None else np.asarray(weights, float)
     at = float(np.median(x))
-    spread = max(1.4826 * float(np.median(np.abs(x - at))), 1e-9)
+    scale = c * _spread(x, at)
     for _ in range(rounds):
-        r = np.abs(x - at) / spread
-        w = np.where(r <= c, 1.0, c / np.maximum(r, 1e-12))
-        new = float((w * x).sum() / w.sum())
-        if abs(new - at) < 1e-9:
-            at = new
+        w = own * np.minimum(1.0, scale / np.maximum(np.abs(x - at), 1e-9 * scale))
+        last, at = at, float((w * x).sum() / w.sum())
+        if abs(at - last) < 1e-7:
             break
-        at = new
-    n = len(x) if groups is None else len(np.unique(groups))
-    error = spread / np.sqrt(max(n, 1))
-    if groups is not None and n > 1:
-        means = pd.Series(x).groupby(np.asarray(groups)).mean()
-        error = max(error, float(means.std(ddof=1)) / np.sqrt(n))
-    return at, float(error), spread
+    spread = _spread(x, at)
+    if groups is None:
+        return at, spread / np.sqrt(len(x)), spread
+    means = pd.Series(x).groupby(np.asarray(groups)).mean().to_numpy()
+    if len(means) < 3:
+        return at, spread / np.sqrt(len(means)), spread
+    return at, max(_spread(means, float(np.median(means))) / np.sqrt(len(means)), spread / np.sqrt(len(x))), spread
 
 
 def robust_location(rows: DataFrame, key: str, value: str, group: str) -> DataFrame:
@@ -205,7 +283,7 @@ def fill_holes(mask: np.ndarray, largest: int | None = None) -> np.ndarray:
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each cell to the nearest background cell, exact: one pass a column, then lower envelopes a row."""
+    """Euclidean distance of each cell to the nearest background cell, exact: one pass a column, then the least over each row's columns."""
     h, w = mask.shape
     big = float(h + w) ** 2
     g = np.where(mask, np.inf, 0.0)
@@ -381,11 +459,13 @@ def monte_carlo_area(width: float, height: float, sigma: float, samples: int = 4
 
 
 def area_spread(rooms: DataFrame, sigma: float) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.room, *np.round(monte_carlo_area(r.length, r.width, sigma, seed=int(r.room)), 6)) for r in pdf.itertuples()]
-        return pd.DataFrame(rows, columns=["room", "area_sd", "perimeter_sd"])
+    """Spread of the area and perimeter of each room (room, length, width)."""
+    def run(batches):
+        for pdf in batches:
+            spread = [monte_carlo_area(w, h, sigma, seed=int(k)) for k, w, h in zip(pdf["room"], pdf["length"], pdf["width"])]
+            yield pd.DataFrame({"room": pdf["room"], "area_sd": np.round([a for a, _ in spread], 6), "perimeter_sd": np.round([p for _, p in spread], 6)})
 
-    return rooms.select("room", "length", "width").groupBy("room").applyInPandas(run, "room int, area_sd double, perimeter_sd double")
+    return rooms.select("room", "length", "width").mapInPandas(run, "room int, area_sd double, perimeter_sd double")
 
 
 def icp(source: np.ndarray, target: np.ndarray, normals: np.ndarray, reach: float = 0.5, rounds: int = 30) -> tuple[float, np.ndarray, float, float]:

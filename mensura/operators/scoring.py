@@ -66,13 +66,11 @@ def opening_gate(scores: DataFrame) -> DataFrame:
     return rows.withColumn("rate", rate).withColumn("passed", F.col("rate") >= OPENING_RATE).withColumn("score", F.least(F.lit(1.0), F.col("rate") / OPENING_RATE))
 
 
-def capture_counters(items: DataFrame, missed_kind: str = "damage_extent", phantom_kind: str = "footprint_area") -> DataFrame:
-    """Counters by capture from a fact table in which kinds mark matched, missed and phantom openings."""
-    kind = F.col("kind")
-    near = _off() <= OPENING_TOLERANCE + SLACK
-    return items.groupBy("capture", "tier").agg(
-        F.count_if(kind.isin("opening_width", missed_kind)).alias("openings_gt"), F.count_if((kind == "opening_width") & near).alias("within"),
-        F.count_if(kind == missed_kind).alias("missed"), F.count_if(kind == phantom_kind).alias("phantom"))
+def capture_counters(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Counters by key from matched openings (truth, found, t_width, f_width), in which an opening of either side may stand alone."""
+    t, f = F.col("truth").isNotNull(), F.col("found").isNotNull()
+    near = F.abs(F.col("f_width") - F.col("t_width")) <= OPENING_TOLERANCE + SLACK
+    return pairs.groupBy(*keys).agg(F.count_if(t).alias("openings_gt"), F.count_if(t & f & near).alias("within"), F.count_if(t & ~f).alias("missed"), F.count_if(f & ~t).alias("phantom"))
 
 
 def photo_stitch_gate(plans: DataFrame) -> DataFrame:

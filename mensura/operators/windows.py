@@ -23,21 +23,24 @@ def angular_velocity(poses: DataFrame) -> DataFrame:
     return poses.withColumn("omega", F.try_divide(F.abs(turn), F.col("t") - F.lag("t").over(w)))
 
 
-def select_keyframes(poses: DataFrame, distance: float = 0.04, angle: float = 4.0, seconds: float = 0.6) -> DataFrame:
-    """Keeps a pose that is far enough from the last one kept, in place, direction or time. State runs along the capture."""
+def select_keyframes(poses: DataFrame, distance: float = 0.04, angle: float = 4.0, seconds: float = 0.6, fastest: float = 90.0) -> DataFrame:
+    """Keeps a pose that is far enough from the last one kept, in place, direction or time. Poses that aren't usable (if there is such a column)
+    or turn faster than `fastest` degrees a second since the pose before are passed over. State runs along the capture."""
+    usable = F.coalesce("usable", F.lit(False)) if "usable" in poses.columns else F.lit(True)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "pose"], kind="stable")
-        kept, last = [], None
-        for k, row in enumerate(zip(pdf["x"], pdf["z"], pdf["heading"], pdf["t"])):
-            if last is not None:
-                turn = abs((row[2] - last[2] + 180) % 360 - 180)
-                if np.hypot(row[0] - last[0], row[1] - last[1]) < distance and turn < angle and row[3] - last[3] < seconds:
-                    continue
-            kept.append(k)
-            last = row
+        turned = lambda a, b: abs((a - b + 180) % 360 - 180)
+        kept, last, before = [], None, None
+        for k, (x, z, a, t, ok) in enumerate(zip(pdf["x"], pdf["z"], pdf["heading"], pdf["t"], pdf["usable"])):
+            slow = before is None or turned(a, before[0]) / max(t - before[1], 1e-3) <= fastest
+            before = (a, t)
+            if ok and slow and (last is None or np.hypot(x - last[0], z - last[1]) >= distance or turned(a, last[2]) >= angle or t - last[3] >= seconds):
+                kept.append(k)
+                last = (x, z, a, t)
         return pdf.iloc[kept][["capture", "pose", "t"]]
 
-    return poses.select("capture", "pose", "t", "x", "z", "heading").groupBy("capture").applyInPandas(run, "capture long, pose long, t double")
+    return poses.select("capture", "pose", "t", "x", "z", "heading", usable.alias("usable")).groupBy("capture").applyInPandas(run, "capture long, pose long, t double")
 
 
 def submaps(poses: DataFrame, distance: float = 1.0, angle: float = 40.0, frames: int = 30) -> DataFrame:

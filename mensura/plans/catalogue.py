@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import group_joins, group_measure, group_rules, group_scoring, group_spatial
+from . import group_capture, group_joins, group_measure, group_rules, group_scoring, group_spatial
 
-GROUPS = (group_scoring, group_spatial, group_joins, group_rules, group_measure)
+GROUPS = (group_scoring, group_spatial, group_joins, group_rules, group_measure, group_capture)
 QUERIES: dict = {name: f for g in GROUPS for name, f in g.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for g in GROUPS for name, sql in g.ORACLES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins, kernels
+from ..operators import joins, kernels, scoring
 from .adapters import edges, openings, points, poses, rays, read, rooms, vectors, with_views
 
 QUERIES: dict = {}
@@ -44,30 +44,40 @@ def interp_asof(spark, d):
     return _rounded(joins.interpolated(p.where(_LEFT), p.where(_RIGHT).select("capture", "t", F.col("x").alias("v")), "capture", "pose"), "v")
 
 
-#: Blocks of points lie side by side, so that the cloud grows in extent, not in density.
-_CLOUD = "SELECT seq AS id, max(x) + CAST(seq // 8000 AS DOUBLE) * 6 AS x, max(y) AS y, max(z) AS z FROM v_points WHERE seq % 16 < 4 GROUP BY seq"
+_ONE = "SELECT scene, seq, max(x) AS x, max(y) AS y, max(z) AS z FROM v_points GROUP BY scene, seq"
 
 
-def _cloud(spark, d, part):
-    cloud = points(spark, d).where("seq % 16 < 4").groupBy(F.col("seq").alias("id")).agg(*[F.max(c).alias(c) for c in "xyz"]).where(F.col("id") % 2 == part)
-    return cloud.withColumn("x", F.col("x") + F.expr("CAST(id div 8000 AS DOUBLE) * 6"))
+def _one(spark, d):
+    """A point for each number of a scene."""
+    return points(spark, d).groupBy("scene", F.col("seq").alias("id")).agg(*[F.max(c).alias(c) for c in "xyz"])
+
 
+_NN = f"""SELECT scene, id, rid, d2, row_number() OVER (PARTITION BY scene, id ORDER BY d2, rid) AS k FROM (
+ SELECT a.scene, a.seq AS id, b.seq AS rid, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+ FROM ({_ONE}) a JOIN ({_ONE}) b ON a.scene = b.scene AND a.seq % 2 = 0 AND b.seq % 2 = 1
+ AND b.x BETWEEN a.x - {{0}} AND a.x + {{0}} AND b.y BETWEEN a.y - {{0}} AND a.y + {{0}} AND b.z BETWEEN a.z - {{0}} AND a.z + {{0}}) WHERE d2 <= {{0}}::DOUBLE * {{0}}::DOUBLE"""
 
-_NN = f"""SELECT id, rid, d2, row_number() OVER (PARTITION BY id ORDER BY d2, rid) AS k FROM (SELECT a.id, b.id AS rid, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM ({_CLOUD}) a JOIN ({_CLOUD}) b ON a.id % 2 = 0 AND b.id % 2 = 1
- AND b.x BETWEEN a.x - 0.5 AND a.x + 0.5 AND b.y BETWEEN a.y - 0.5 AND a.y + 0.5 AND b.z BETWEEN a.z - 0.5 AND a.z + 0.5) WHERE d2 <= 0.5::DOUBLE * 0.5::DOUBLE"""
 
+def _cloud(spark, d, part):
+    """The points of even (left) or odd (right) number."""
+    return _one(spark, d).where(F.col("id") % 2 == part)
 
-@query(f"SELECT id, rid, round(sqrt(d2), 6) AS distance, CAST(k AS INT) AS k FROM ({_NN}) WHERE k <= 4", "v_points")
+
+@query(f"SELECT scene, id, rid, round(sqrt(d2), 6) AS distance, CAST(k AS INT) AS k FROM ({_NN.format(0.2)}) WHERE k <= 4", "v_points")
 def knn_voxel_bucket(spark, d):
-    return _rounded(joins.nearest_points(_cloud(spark, d, 0), _cloud(spark, d, 1), 0.5, 4), "distance")
+    return _rounded(joins.nearest_points(_cloud(spark, d, 0), _cloud(spark, d, 1), 0.2, 4, "scene"), "distance")
+
 
+_HALF = f"SELECT scene, seq, {{x}} AS x, y, z FROM ({_ONE}) WHERE {{where}}"
+_MIRROR = f"""SELECT l.scene, l.seq AS id, count(r.seq) AS hits FROM ({_HALF.format(x='5 - x', where='x < 2.5')}) l LEFT JOIN ({_HALF.format(x='x', where='x >= 2.5')}) r
+ ON l.scene = r.scene AND r.x BETWEEN l.x - 0.15 AND l.x + 0.15 AND r.y BETWEEN l.y - 0.15 AND l.y + 0.15 AND r.z BETWEEN l.z - 0.15 AND l.z + 0.15
+ AND (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) + (l.z - r.z) * (l.z - r.z) <= 0.15::DOUBLE * 0.15::DOUBLE GROUP BY ALL"""
 
-@query(f"SELECT floor(id / 1000) AS plane, round(avg(CASE WHEN b.id IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END), 6) AS share FROM (SELECT id FROM ({_CLOUD}) WHERE id % 2 = 0) a LEFT JOIN (SELECT DISTINCT id FROM ({_NN})) b USING (id) GROUP BY 1", "v_points")
+
+@query(f"SELECT scene, round(avg(CASE WHEN hits > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS share, avg(CASE WHEN hits > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) >= 0.6 AS mirror FROM ({_MIRROR}) GROUP BY scene", "v_points")
 def mirror_nn_fraction(spark, d):
-    left = _cloud(spark, d, 0)
-    near = joins.nearest_points(left, _cloud(spark, d, 1), 0.5).select("id", F.lit(1.0).alias("hit"))
-    share = left.join(near, "id", "left").groupBy(F.floor(F.col("id") / 1000).cast("double").alias("plane")).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
-    return _rounded(share, "share")
+    planes = points(spark, d).select("scene", F.lit(0).alias("axis"), F.lit(2.5).alias("off")).distinct()
+    return _rounded(joins.mirrored_share(_one(spark, d), planes, 0.15), "share")
 
 
 _CROSS = """SELECT scene, ray, id, s, h FROM (SELECT *, CASE axis WHEN 0 THEN py + (qy - py) * share ELSE px + (qx - px) * share END AS s, pz + (qz - pz) * share AS h FROM (SELECT *, a0 / (a0 - a1) AS share FROM (SELECT *, (CASE axis WHEN 0 THEN px ELSE py END - off) * inward AS a0, (CASE axis WHEN 0 THEN qx ELSE qy END - off) * inward AS a1
@@ -105,12 +115,12 @@ def shared_wall_pairs(spark, d):
     return joins.shared_walls(edges(spark, d))
 
 
-_BOX = "SELECT id, scene, off AS x0, off + hi - lo AS x1, lo AS y0, lo + top AS y1 FROM v_edges WHERE id <= 600"
+_BOX = "SELECT id, scene, off AS x0, off + hi - lo AS x1, lo AS y0, lo + top AS y1 FROM v_edges"
 
 
 def _boxes(spark, d):
     c = F.col
-    return edges(spark, d).where("id <= 600").select("id", "scene", c("off").alias("x0"), (c("off") + c("hi") - c("lo")).alias("x1"), c("lo").alias("y0"), (c("lo") + c("top")).alias("y1"))
+    return edges(spark, d).select("id", "scene", c("off").alias("x0"), (c("off") + c("hi") - c("lo")).alias("x1"), c("lo").alias("y0"), (c("lo") + c("top")).alias("y1"))
 
 
 @query(f"""SELECT * FROM (SELECT p.scene, p.id AS a, q.id AS b, (least(p.x1, q.x1) - greatest(p.x0, q.x0)) * (least(p.y1, q.y1) - greatest(p.y0, q.y0)) AS area FROM ({_BOX}) p JOIN ({_BOX}) q ON p.scene = q.scene AND p.id < q.id AND p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1) WHERE area > 0.01""", "v_edges")
@@ -120,21 +130,23 @@ def overlap_pairs(spark, d):
 
 #: An L-shaped room, corners in order; a fixture of the query.
 _CORNERS = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.5, 2.0), (2.5, 4.5), (0.0, 4.5)]
-_SIDES = [(0, *a, *b) for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1])]
-_SIDES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for k, a, b, c, e in _SIDES) + ") AS t(scene, x1, y1, x2, y2)"
-_AT = "SELECT DISTINCT 0 AS scene, seq AS id, x, y FROM v_points WHERE seq % 8 = 1"
+_SIDES = [(*a, *b) for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1])]
+_SIDES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for a, b, c, e in _SIDES) + ") AS t(x1, y1, x2, y2)"
 
 
-@query(f"""SELECT scene, id, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * ((x2 - x1) / nullif(y2 - y1, 0)) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM (SELECT 0 AS scene, seq AS id, max(x) AS x, max(y) AS y FROM v_points WHERE seq % 8 = 1 GROUP BY seq) JOIN ({_SIDES_SQL}) USING (scene) GROUP BY ALL""", "v_points")
+@query(f"""SELECT scene, id, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * ((x2 - x1) / nullif(y2 - y1, 0)) THEN 1 ELSE 0 END) % 2 = 1 AS inside
+ FROM (SELECT scene, seq AS id, x, y FROM ({_ONE})), ({_SIDES_SQL}) GROUP BY ALL""", "v_points")
 def point_in_polygon(spark, d):
-    at = points(spark, d).where("seq % 8 = 1").groupBy(F.lit(0).alias("scene"), F.col("seq").alias("id")).agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    return joins.in_polygon(at, spark.createDataFrame(_SIDES, "scene int, x1 double, y1 double, x2 double, y2 double"), "scene")
+    at = _one(spark, d).drop("z")
+    sides = at.select("scene").distinct().withColumn("s", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(side, ("x1", "y1", "x2", "y2"))]) for side in _SIDES])))
+    return joins.in_polygon(at, sides.select("scene", "s.*"), "scene")
 
 
-@query("SELECT scene, frame, label, n FROM (SELECT scene, frame, label, n, row_number() OVER (PARTITION BY scene, frame ORDER BY n DESC, label) AS k FROM (SELECT scene, frame, CAST(floor(round(x / 0.5::DOUBLE, 9)) AS BIGINT) AS label, count(*) AS n FROM v_points GROUP BY ALL) WHERE n >= 5) WHERE k = 1", "v_points")
+@query("""SELECT scene, frame, label, n FROM (SELECT scene, frame, label, n, row_number() OVER (PARTITION BY scene, frame ORDER BY n DESC, label) AS k FROM (
+ SELECT scene, frame, CAST(floor(round(x / 0.5::DOUBLE, 9)) AS BIGINT) AS label, count(*) AS n FROM v_points GROUP BY ALL) WHERE n >= 5 AND label <> frame % 10) WHERE k = 1""", "v_points")
 def room_behind_mode(spark, d):
     hits = points(spark, d).select("scene", "frame", F.floor(F.round(F.col("x") / 0.5, 9)).alias("label"))
-    return joins.mode_label(hits, 5, "scene", "frame")
+    return joins.mode_label(hits.where(F.col("label") != F.col("frame") % 10), 5, "scene", "frame")
 
 
 _ANCHOR = "SELECT capture, part, t, x, z FROM (SELECT capture, CAST(row_number() OVER (PARTITION BY capture ORDER BY t, pose) AS INT) AS part, t, x, z FROM v_poses)"
@@ -178,46 +190,128 @@ def view_visibility(spark, d):
 
 
 def _outline(spark, d, parity):
-    """Rooms of four sites with walls in order; found ones are off by a little and turned."""
-    base = read(spark, d, "customer").where(F.col("c_custkey") <= 400).selectExpr("CAST(c_custkey % 4 AS INT) AS site", "CAST(c_custkey % 10 AS INT) AS room", "c_custkey AS wall", "2.0D + CAST(c_custkey * 7 % 31 AS DOUBLE) / 10.0D AS length")
-    shifted = base if parity == 0 else base.selectExpr("site", "room", "CASE WHEN wall % 3 = 0 THEN wall + 1000 ELSE wall END AS wall", "length + CAST(wall % 5 AS DOUBLE) / 100.0D AS length")
+    """Rooms of sites, six each, with walls in order; found ones are off by a little and turned. Of every seventh site's truth, one room has no area."""
+    base = read(spark, d, "customer").selectExpr("CAST(c_custkey div 30 AS INT) AS site", "CAST(c_custkey % 6 AS INT) AS room", "c_custkey AS wall", "2.0D + CAST(c_custkey * 7 % 31 AS DOUBLE) / 10.0D AS length")
+    shifted = base if parity == 0 else base.selectExpr("site", "room", "CASE WHEN wall % 3 = 0 THEN wall + 1000000000 ELSE wall END AS wall", "length + CAST(wall % 5 AS DOUBLE) / 100.0D AS length")
     lists = shifted.groupBy("site", "room").agg(F.sort_array(F.collect_list(F.struct("wall", "length"))).alias("w"), F.round(F.sum("length"), 6).alias("area"))
-    return lists.select("site", "room", "area", F.expr("transform(w, x -> x.length)").alias("lengths"))
-
-
-_OUT = ["SELECT site, room, list(length ORDER BY wall) AS lengths, round(sum(length), 6) AS area FROM (SELECT CAST(c_custkey % 4 AS INT) AS site, CAST(c_custkey % 10 AS INT) AS room, c_custkey AS wall, 2::DOUBLE + CAST(c_custkey * 7 % 31 AS DOUBLE) / 10 AS length FROM customer WHERE c_custkey <= 400) GROUP BY ALL",
-        "SELECT site, room, list(length ORDER BY wall) AS lengths, round(sum(length), 6) AS area FROM (SELECT CAST(c_custkey % 4 AS INT) AS site, CAST(c_custkey % 10 AS INT) AS room, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000 ELSE c_custkey END AS wall, 2::DOUBLE + CAST(c_custkey * 7 % 31 AS DOUBLE) / 10 + CAST(c_custkey % 5 AS DOUBLE) / 100 AS length FROM customer WHERE c_custkey <= 400) GROUP BY ALL"]
-_FOUR = "list_concat(list_reverse_sort({}), [0::DOUBLE, 0, 0, 0])[1:4]"
-
-
-@query(f"""SELECT t.site, t.room AS t, p.room AS p, round(abs(t.area - p.area) / greatest(t.area, p.area) + list_sum(list_transform(list_zip({_FOUR.format('t.lengths')}, {_FOUR.format('p.lengths')}), lambda z: abs(z[1] - z[2]))) / 4, 6) AS cost FROM ({_OUT[0]}) t JOIN ({_OUT[1]}) p ON t.site = p.site""")
+    area = F.when((F.col("site") % 7 != 0) | (F.col("room") != 2), F.col("area")) if parity == 0 else F.col("area")
+    return lists.select("site", "room", area.alias("area"), F.expr("transform(w, x -> x.length)").alias("lengths"))
+
+
+_WALL = "SELECT CAST(c_custkey // 30 AS INT) AS site, CAST(c_custkey % 6 AS INT) AS room, c_custkey AS wall, 2::DOUBLE + CAST(c_custkey * 7 % 31 AS DOUBLE) / 10 AS length FROM customer"
+_MOVED = f"SELECT site, room, CASE WHEN wall % 3 = 0 THEN wall + 1000000000 ELSE wall END AS wall, length + CAST(wall % 5 AS DOUBLE) / 100 AS length FROM ({_WALL})"
+_PLACED = "SELECT site, room, length, CAST(row_number() OVER (PARTITION BY site, room ORDER BY wall) AS INT) AS k, CAST(row_number() OVER (PARTITION BY site, room ORDER BY length DESC) AS INT) AS by_length FROM ({})"
+#: Wall by wall, with no lists: the four longest walls side by side, the first four true walls, and the nearest found wall of each true one.
+_COST = f"""SELECT p.site, p.t, p.p, CASE WHEN p.site % 7 = 0 AND p.t = 2 THEN 4 * n.miss ELSE abs(f.area - a.area) / a.area + w.off / greatest(a.first, 1) END AS cost
+ FROM (SELECT a.site, a.room AS t, b.room AS p FROM (SELECT DISTINCT site, room FROM ({_WALL})) a JOIN (SELECT DISTINCT site, room FROM ({_WALL})) b ON a.site = b.site) p
+ JOIN (SELECT site, room, round(sum(length), 6) AS area, sum(length) FILTER (k <= 4) AS first FROM ({_PLACED.format(_WALL)}) GROUP BY ALL) a ON a.site = p.site AND a.room = p.t
+ JOIN (SELECT site, room, round(sum(length), 6) AS area FROM ({_MOVED}) GROUP BY ALL) f ON f.site = p.site AND f.room = p.p
+ JOIN (SELECT site, t, p, sum(abs(x - y)) AS off FROM (SELECT coalesce(x.site, y.site) AS site, x.t, y.p, coalesce(x.length, 0) AS x, coalesce(y.length, 0) AS y FROM
+  (SELECT q.site, q.t, q.p, q.k, l.length FROM (SELECT a.site, a.room AS t, b.room AS p, k FROM (SELECT DISTINCT site, room FROM ({_WALL})) a JOIN (SELECT DISTINCT site, room FROM ({_WALL})) b ON a.site = b.site, (SELECT unnest([1, 2, 3, 4]) AS k)) q
+   LEFT JOIN ({_PLACED.format(_WALL)}) l ON l.site = q.site AND l.room = q.t AND l.by_length = q.k) x
+  JOIN (SELECT q.site, q.t, q.p, q.k, l.length FROM (SELECT a.site, a.room AS t, b.room AS p, k FROM (SELECT DISTINCT site, room FROM ({_WALL})) a JOIN (SELECT DISTINCT site, room FROM ({_WALL})) b ON a.site = b.site, (SELECT unnest([1, 2, 3, 4]) AS k)) q
+   LEFT JOIN ({_PLACED.format(_MOVED)}) l ON l.site = q.site AND l.room = q.p AND l.by_length = q.k) y ON x.site = y.site AND x.t = y.t AND x.p = y.p AND x.k = y.k) GROUP BY ALL) w ON w.site = p.site AND w.t = p.t AND w.p = p.p
+ JOIN (SELECT site, t, p, avg(miss) AS miss FROM (SELECT a.site, a.room AS t, b.room AS p, a.wall, min(abs(a.length - b.length)) / min(a.length) AS miss FROM ({_WALL}) a JOIN ({_MOVED}) b ON a.site = b.site GROUP BY ALL) GROUP BY ALL) n ON n.site = p.site AND n.t = p.t AND n.p = p.p"""
+
+
+@query(f"SELECT site, t, p, round(cost, 6) AS cost FROM ({_COST})")
 def room_assignment_cost(spark, d):
     return _rounded(joins.assignment_cost(_outline(spark, d, 0), _outline(spark, d, 1)), "cost")
 
 
-@query()
+@query(f"""SELECT * FROM (WITH RECURSIVE c AS MATERIALIZED ({_COST}), need AS (SELECT site, count(DISTINCT t) AS n FROM c GROUP BY site),
+ ways AS (SELECT DISTINCT site, -1 AS last, []::INT[] AS ts, []::INT[] AS ps, 0::DOUBLE AS total FROM c UNION ALL
+  SELECT w.site, c.t, list_append(w.ts, c.t), list_append(w.ps, c.p), w.total + c.cost FROM ways w JOIN c ON c.site = w.site AND NOT list_contains(w.ps, c.p)
+  AND c.t = (SELECT min(t) FROM c z WHERE z.site = w.site AND z.t > w.last)),
+ best AS (SELECT site, arg_min(ts, total) AS ts, arg_min(ps, total) AS ps FROM ways JOIN need USING (site) WHERE len(ts) = n GROUP BY site)
+ SELECT site, t, p, round(cost, 6) AS cost FROM (SELECT site, unnest(ts) AS t, unnest(ps) AS p FROM best) JOIN c USING (site, t, p) WHERE cost < 0.8)""")
 def room_assignment(spark, d):
-    return kernels.assign(joins.assignment_cost(_outline(spark, d, 0), _outline(spark, d, 1)), "site", "t", "p", "cost", 0.8)
+    costs = joins.assignment_cost(_outline(spark, d, 0), _outline(spark, d, 1))
+    return _rounded(kernels.assign(costs, "site", "t", "p", "cost", 0.8), "cost")
+
+
+_ROUND = f"""SELECT t.site, t.room, dir, CAST(shift AS INT) AS shift, round(sum(abs(t.length - f.length)), 9) AS cost, CAST(any_value(t.n) AS INT) AS n
+ FROM (SELECT *, count(*) OVER (PARTITION BY site, room) AS n FROM ({_PLACED.format(_WALL)})) t, (SELECT unnest([1, -1]) AS dir), (SELECT unnest(range(64)) AS shift)
+ JOIN ({_PLACED.format(_MOVED)}) f ON f.site = t.site AND f.room = t.room AND f.k - 1 = ((shift + dir * (t.k - 1)) % t.n + t.n) % t.n WHERE shift < t.n GROUP BY ALL"""
 
 
-@query(f"""SELECT site, room, dir, CAST(shift AS INT) AS shift, round(list_sum(list_transform(range(n), lambda i: abs(tl[i + 1] - pl[((shift + dir * i) % n + n) % n + 1]))), 6) AS cost, CAST(n AS INT) AS n FROM (SELECT *, unnest(range(n)) AS shift FROM (SELECT *, unnest([1, -1]) AS dir FROM (SELECT t.site, t.room, t.lengths AS tl, p.lengths AS pl, len(t.lengths) AS n FROM ({_OUT[0]}) t JOIN ({_OUT[1]}) p USING (site, room)) WHERE len(tl) = len(pl)))""")
+@query(f"SELECT *, cost <= min(cost) OVER (PARTITION BY site, room) + 0.02::DOUBLE * n AS near FROM ({_ROUND})")
 def cyclic_alignment(spark, d):
     t = _outline(spark, d, 0).select("site", "room", F.col("lengths").alias("tl"))
     p = _outline(spark, d, 1).select("site", "room", F.col("lengths").alias("pl"))
-    return _rounded(joins.cyclic_alignments(t, p), "cost")
+    return joins.cyclic_alignments(t, p)
 
 
-@query()
+_FOUND = """SELECT opening + 1000000000 AS opening, room, face, CASE WHEN opening % 11 = 0 AND kind = 'door' THEN 'open_passage' ELSE kind END AS kind, off + CAST(opening % 5 AS DOUBLE) / 20 AS off,
+ width + CAST(opening % 7 AS DOUBLE) / 50 AS width FROM v_openings WHERE opening % 9 <> 0"""
+
+
+def _found(spark, d):
+    return openings(spark, d).where("opening % 9 <> 0").selectExpr(
+        "opening + 1000000000 AS opening", "room", "face", "CASE WHEN opening % 11 = 0 AND kind = 'door' THEN 'open_passage' ELSE kind END AS kind",
+        "off + CAST(opening % 5 AS DOUBLE) / 20.0D AS off", "width + CAST(opening % 7 AS DOUBLE) / 50.0D AS width")
+
+
+#: One true opening of each room a step, with the found ones that are taken: no more than 16 openings a room.
+_GREEDY = f"""WITH RECURSIVE f AS MATERIALIZED ({_FOUND}), t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY room ORDER BY opening) AS k FROM v_openings),
+ o AS MATERIALIZED (SELECT t.room, t.k, t.opening AS truth, f.opening AS found, abs(f.width - t.width) + 0.5::DOUBLE * abs(f.off - t.off) AS cost, abs(f.width - t.width) <= greatest(0.25::DOUBLE, 0.35::DOUBLE * t.width) AS fits
+  FROM t JOIN f ON f.room = t.room AND f.face = t.face AND (f.kind = t.kind OR (f.kind = 'open_passage' AND t.kind = 'door'))),
+ g AS (SELECT room, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS truth, NULL::BIGINT AS found, NULL::DOUBLE AS cost FROM t GROUP BY room UNION ALL
+  SELECT room, k, CASE WHEN fits THEN list_append(used, found) ELSE used END, truth, CASE WHEN fits THEN found END, CASE WHEN fits THEN cost END FROM (
+   SELECT g.room, t.k, g.used, t.opening AS truth, o.found, o.cost, coalesce(o.fits, false) AS fits, row_number() OVER (PARTITION BY g.room ORDER BY o.cost, o.found) AS best
+   FROM g JOIN t ON t.room = g.room AND t.k = g.k + 1 LEFT JOIN o ON o.room = t.room AND o.k = t.k AND NOT list_contains(g.used, o.found)) WHERE best = 1)
+ SELECT room, truth, found, cost FROM g WHERE k > 0 UNION ALL SELECT room, NULL, opening, NULL FROM f WHERE opening NOT IN (SELECT found FROM g WHERE found IS NOT NULL)"""
+
+
+@query(f"SELECT room, truth, found, round(cost, 6) AS cost FROM ({_GREEDY})", "v_openings")
 def opening_match(spark, d):
-    o = openings(spark, d)
-    found = o.selectExpr("opening + 1000 AS opening", "room", "face", "kind", "off + CAST(opening % 5 AS DOUBLE) / 20.0D AS off", "width + CAST(opening % 7 AS DOUBLE) / 50.0D AS width").where("opening % 9 <> 0")
-    return kernels.match_openings(o, found)
+    return _rounded(kernels.match_openings(openings(spark, d), _found(spark, d)), "cost")
+
+
+_COUNTERS = f"""SELECT CAST(room // 100 AS INT) AS capture, CASE room // 100 % 3 WHEN 0 THEN 'lidar' WHEN 1 THEN 'video' ELSE 'photo' END AS tier, count(truth) AS openings_gt, count(*) FILTER (abs(f.width - t.width) <= 0.02::DOUBLE + 1e-9) AS within,
+ count(*) FILTER (truth IS NOT NULL AND found IS NULL) AS missed, count(*) FILTER (truth IS NULL) AS phantom
+ FROM ({_GREEDY}) m LEFT JOIN (SELECT opening AS truth, width FROM v_openings) t USING (truth) LEFT JOIN (SELECT opening AS found, width FROM ({_FOUND})) f USING (found) GROUP BY ALL"""
+
+
+def _counters(spark, d):
+    t, f = (o.select(F.col("opening").alias(n), F.col("width").alias(f"{n[0]}_width")) for o, n in ((openings(spark, d), "truth"), (_found(spark, d), "found")))
+    pairs = kernels.match_openings(openings(spark, d), _found(spark, d)).join(t, "truth", "left").join(f, "found", "left")
+    tier = F.expr("CASE room div 100 % 3 WHEN 0 THEN 'lidar' WHEN 1 THEN 'video' ELSE 'photo' END")
+    return scoring.capture_counters(pairs.withColumns({"capture": F.expr("CAST(room div 100 AS INT)"), "tier": tier}), "capture", "tier")
+
+
+@query(_COUNTERS, "v_openings")
+def capture_counters(spark, d):
+    return _counters(spark, d)
+
+
+@query(f"""SELECT *, rate >= 0.85 AS passed, round(least(1::DOUBLE, rate / 0.85::DOUBLE), 6) AS score FROM (SELECT tier, CAST(sum(openings_gt) AS BIGINT) AS openings_gt, CAST(sum(within) AS BIGINT) AS within, CAST(sum(missed) AS BIGINT) AS missed,
+ CAST(sum(phantom) AS BIGINT) AS phantom, CAST(sum(within) AS DOUBLE) / nullif(sum(openings_gt) + sum(phantom), 0) AS rate FROM ({_COUNTERS}) GROUP BY tier)""", "v_openings")
+def opening_gate(spark, d):
+    return _rounded(scoring.opening_gate(_counters(spark, d)), "score")
+
+
+@query()
+def plan_match(spark, d):
+    """Walls of rooms from customers, openings from parts: all that scoring matches, site by site."""
+    t, f = _outline(spark, d, 0), _outline(spark, d, 1)
+    rooms_of = kernels.assign(joins.assignment_cost(t, f), "site", "t", "p", "cost", 0.8)
+    def walls(side, df):
+        each = df.select(F.lit(side).alias("side"), "site", "room", F.posexplode("lengths").alias("id", "value"))
+        return each.select("side", "site", "room", F.lit("wall").alias("what"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("wall"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("off"), "value")
+
+    def doors(side, df):
+        place = df.withColumns({"site": F.expr("CAST(room div 6 AS INT)"), "in_site": F.expr("CAST(room % 6 AS INT)")})
+        return place.select(F.lit(side).alias("side"), "site", F.col("in_site").alias("room"), F.lit("opening").alias("what"), F.col("opening").cast("long").alias("id"), F.col("face").cast("long").alias("wall"), "kind", "off", F.col("width").alias("value"))
+
+    parts = walls("truth", t).unionByName(walls("found", f)).unionByName(doors("truth", openings(spark, d))).unionByName(doors("found", _found(spark, d)))
+    return kernels.match_plans(rooms_of, parts.join(t.select("site").distinct(), "site", "left_semi"))
 
 
-_DOOR = "SELECT room % 3 AS scene, opening, room, width FROM v_openings WHERE kind = 'door'"
+_DOOR = "SELECT CAST(room // 8 AS INT) AS scene, opening, room, width FROM v_openings WHERE kind = 'door'"
 
 
 @query(f"""SELECT scene, a, b, round((g / 0.05::DOUBLE) * (g / 0.05::DOUBLE), 6) AS score FROM (SELECT p.scene, p.opening AS a, q.opening AS b, abs(p.width - q.width) AS g FROM ({_DOOR}) p JOIN ({_DOOR}) q ON p.scene = q.scene AND p.room < q.room WHERE abs(p.width - q.width) <= greatest(0.15::DOUBLE, 0.18::DOUBLE * greatest(p.width, q.width)))""", "v_openings")
 def door_pair_candidates(spark, d):
-    doors = openings(spark, d).where("kind = 'door'").select((F.col("room") % 3).alias("scene"), "opening", "room", "width")
+    doors = openings(spark, d).where("kind = 'door'").select(F.expr("CAST(room div 8 AS INT)").alias("scene"), "opening", "room", "width")
     return _rounded(joins.door_pairs(doors), "score")

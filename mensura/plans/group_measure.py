@@ -61,17 +61,17 @@ def ceiling_or_prior(spark, d):
     return measures.ceilings(r).select("room", "lo", "hi", "value", "observed")
 
 
-@query("""SELECT room, coalesce(CASE WHEN room % 5 = 0 THEN length * width END, CASE WHEN n = 4 THEN a * b END) AS area FROM v_rooms LEFT JOIN (SELECT room, count(*) AS n, avg(CASE WHEN id % 2 = 0 THEN top END) AS a, avg(CASE WHEN id % 2 = 1 THEN top END) AS b FROM (SELECT room % 20 AS room, id // 20 AS id, top FROM v_edges WHERE id BETWEEN 1 AND 90) GROUP BY room) USING (room)""", "v_rooms", "v_edges")
+@query("""SELECT room, coalesce(CASE WHEN room % 5 = 0 THEN length * width END, CASE WHEN n = 4 THEN a * b END) AS area FROM v_rooms LEFT JOIN (SELECT room, count(*) AS n, avg(CASE WHEN id % 2 = 0 THEN top END) AS a, avg(CASE WHEN id % 2 = 1 THEN top END) AS b FROM (SELECT room, id, top FROM v_edges WHERE id % 5 > 0 OR room % 2 = 0) GROUP BY room) USING (room)""", "v_rooms", "v_edges")
 def gt_room_area(spark, d):
-    w = edges(spark, d).where("id BETWEEN 1 AND 90").select((F.col("room") % 20).alias("room"), F.expr("id div 20").alias("seq"), F.col("top").alias("length"))
+    w = edges(spark, d).where("id % 5 > 0 or room % 2 = 0").select("room", F.col("id").alias("seq"), F.col("top").alias("length"))
     given = rooms(spark, d).select("room", F.when(F.col("room") % 5 == 0, F.col("length") * F.col("width")).alias("floor_area"))
     return measures.truth_area(w, given)
 
 
-@query("""SELECT site, CASE WHEN count(*) = count(area) THEN round(sum(area), 6) END AS area, round(sqrt(sum(sigma * sigma)), 6) AS sigma, round(sqrt(sum(sigma * sigma) + sum((area * 0.01::DOUBLE) * (area * 0.01::DOUBLE))), 6) AS sigma_stitched FROM (SELECT room % 4 AS site, CASE WHEN room <> 7 THEN length * width END AS area, height / 100 AS sigma FROM v_rooms) GROUP BY site""", "v_rooms")
+@query("""SELECT site, CASE WHEN count(*) = count(area) THEN round(sum(area), 6) END AS area, round(sqrt(sum(sigma * sigma)), 6) AS sigma, round(sqrt(sum(sigma * sigma) + sum((area * 0.01::DOUBLE) * (area * 0.01::DOUBLE))), 6) AS sigma_stitched FROM (SELECT room % 50 AS site, CASE WHEN room <> 7 THEN length * width END AS area, height / 100 AS sigma FROM v_rooms) GROUP BY site""", "v_rooms")
 def footprint_area(spark, d):
     c = F.col
-    r = rooms(spark, d).select((c("room") % 4).alias("site"), F.when(c("room") != 7, c("length") * c("width")).alias("area"), (c("height") / 100).alias("sigma"), F.lit(0.01).alias("sigma_log"))
+    r = rooms(spark, d).select((c("room") % 50).alias("site"), F.when(c("room") != 7, c("length") * c("width")).alias("area"), (c("height") / 100).alias("sigma"), F.lit(0.01).alias("sigma_log"))
     return _rounded(measures.footprint(r, "site"), "area", "sigma", "sigma_stitched")
 
 
@@ -120,22 +120,22 @@ def region_shapes(spark, d):
 
 
 _CELLS = "SELECT DISTINCT scene, CAST(floor(round(x / 0.2::DOUBLE, 9)) AS BIGINT) AS ix, CAST(floor(round(y / 0.2::DOUBLE, 9)) AS BIGINT) AS iz FROM v_points"
-_BOXES = "SELECT CAST(id % 3 AS INT) AS scene, id AS box, id % 20 AS x0, id % 20 + 4 AS x1, id % 15 AS z0, id % 15 + 3 AS z1 FROM v_edges WHERE id <= 200"
+_BOXES = "SELECT scene, id AS box, id % 20 AS x0, id % 20 + 4 AS x1, id % 15 AS z0, id % 15 + 3 AS z1 FROM v_edges"
 
 
 @query(f"SELECT * FROM (SELECT scene, box, count(*) AS n, count(*) / 12::DOUBLE AS share FROM ({_BOXES}) JOIN ({_CELLS}) USING (scene) WHERE ix >= x0 AND ix < x1 AND iz >= z0 AND iz < z1 GROUP BY ALL) WHERE share >= 0.5", "v_points", "v_edges")
 def cell_coverage(spark, d):
     cells = points(spark, d).selectExpr("scene", "floor(round(x / 0.2D, 9)) AS ix", "floor(round(y / 0.2D, 9)) AS iz").distinct()
-    boxes = edges(spark, d).where("id <= 200").selectExpr("CAST(id % 3 AS INT) AS scene", "id AS box", "id % 20 AS x0", "id % 20 + 4 AS x1", "id % 15 AS z0", "id % 15 + 3 AS z1")
+    boxes = edges(spark, d).selectExpr("scene", "id AS box", "id % 20 AS x0", "id % 20 + 4 AS x1", "id % 15 AS z0", "id % 15 + 3 AS z1")
     return measures.covered_cells(cells, boxes)
 
 
-_SOLID = "SELECT scene, id AS box, off AS x0, off + 0.4::DOUBLE AS x1, lo AS y0, hi AS y1, 0::DOUBLE AS z0, top AS z1 FROM v_edges WHERE id <= 400"
+_SOLID = "SELECT scene, id AS box, off AS x0, off + 0.4::DOUBLE AS x1, lo AS y0, hi AS y1, 0::DOUBLE AS z0, top AS z1 FROM v_edges"
 
 
 def _solids(spark, d):
     c = F.col
-    return edges(spark, d).where("id <= 400").select("scene", c("id").alias("box"), c("off").alias("x0"), (c("off") + 0.4).alias("x1"), c("lo").alias("y0"), c("hi").alias("y1"), F.lit(0.0).alias("z0"), c("top").alias("z1"))
+    return edges(spark, d).select("scene", c("id").alias("box"), c("off").alias("x0"), (c("off") + 0.4).alias("x1"), c("lo").alias("y0"), c("hi").alias("y1"), F.lit(0.0).alias("z0"), c("top").alias("z1"))
 
 
 def _slab(k):
@@ -156,7 +156,7 @@ def raycast_boxes(spark, d):
  SELECT scene, count(*) AS parts, round(sum((bx1 - bx0) * (by1 - by0) * (bz1 - bz0)), 4) AS volume FROM (SELECT scene, x0 AS bx0, x1 AS bx1, y0 AS by0, y1 AS by1, z0 AS bz0, z1 AS bz1 FROM b WHERE NOT clash UNION ALL SELECT scene, x0, i0, y0, y1, z0, z1 FROM b WHERE clash UNION ALL SELECT scene, i1, x1, y0, y1, z0, z1 FROM b WHERE clash UNION ALL SELECT scene, i0, i1, y0, j0, z0, z1 FROM b WHERE clash
  UNION ALL SELECT scene, i0, i1, j1, y1, z0, z1 FROM b WHERE clash UNION ALL SELECT scene, i0, i1, j0, j1, z0, k0 FROM b WHERE clash UNION ALL SELECT scene, i0, i1, j0, j1, k1, z1 FROM b WHERE clash) WHERE bx1 - bx0 > 1e-9 AND by1 - by0 > 1e-9 AND bz1 - bz0 > 1e-9 GROUP BY scene""".replace("WITH b AS", "SELECT * FROM (WITH b AS") + ")", "v_edges")
 def box_difference(spark, d):
-    cutter = spark.range(5).selectExpr("CAST(id AS INT) AS scene", "2.0D AS x0", "3.0D AS x1", "1.0D AS y0", "2.0D AS y1", "0.5D AS z0", "1.5D AS z1")
+    cutter = edges(spark, d).select("scene").distinct().selectExpr("scene", "2.0D AS x0", "3.0D AS x1", "1.0D AS y0", "2.0D AS y1", "0.5D AS z0", "1.5D AS z1")
     parts = measures.cut_boxes(_solids(spark, d), cutter)
     volume = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("z1") - F.col("z0"))
     return parts.groupBy("scene").agg(F.count("*").alias("parts"), F.round(F.sum(volume), 4).alias("volume"))
@@ -203,6 +203,6 @@ def metadata_multimap(spark, d):
     return captures.multimap(read(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("visit"), "n_name"), "visit", "n_name")
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, to_base64(encode(url)) AS encoded FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, to_base64(encode(url)) AS encoded FROM pages""")
 def html_escape_base64(spark, d):
-    return read(spark, d, "pages").select("page_id", text.escaped_html(F.substring("html", 1, 200)).alias("escaped"), F.base64(F.encode("url", "UTF-8")).alias("encoded"))
+    return read(spark, d, "pages").select("page_id", text.escaped_html(F.col("html")).alias("escaped"), F.base64(F.encode("url", "UTF-8")).alias("encoded"))

@@ -205,9 +205,9 @@ def strip_ordinal(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.without_ordinal(F.concat(F.col("p_partkey").cast("string"), gap, F.col("p_name"))).alias("name"))
 
 
-@query("""SELECT p_partkey AS id, '{"room":"R' || p_size || '","wall":"R' || p_size || '-W2","note":"R10"}' AS document FROM part""")
+@query("""SELECT p_partkey AS id, '{"room":"R' || p_size || '","wall":"R' || p_size || '-W' || p_partkey || '","note":"R1' || p_size || ' ' || p_name || '"}' AS document FROM part""")
 def relabel_ids(spark, d):
-    doc = F.lit('{"room":"R1","wall":"R1-W2","note":"R10"}')
+    doc = F.format_string('{"room":"R1","wall":"R1-W%d","note":"R1%d %s"}', "p_partkey", "p_size", "p_name")
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.relabelled(doc, "R1", F.concat(F.lit("R"), F.col("p_size").cast("string"))).alias("document"))
 
 

@@ -127,12 +127,38 @@ def angular_velocity_lag(spark, d):
     return _rounded(windows.angular_velocity(poses(spark, d)).select("capture", "pose", "omega"), "omega")
 
 
-@query()
+_ORDERED = "SELECT *, row_number() OVER (PARTITION BY capture ORDER BY t, pose) AS i, pose % 13 <> 0 AS usable FROM v_poses"
+_TURN = "abs((({0} - {1} + 180) - 360 * floor(({0} - {1} + 180) / 360)) - 180)"
+
+
+def _keyframes_sql(distance: float, angle: float, seconds: float, fastest: float) -> str:
+    """A pose of each capture a step; what is carried along is the last pose kept."""
+    slow = f"(b.i IS NULL OR {_TURN.format('p.heading', 'b.heading')} / greatest(p.t - b.t, 0.001) <= {fastest})"
+    far = f"(s.kept IS NULL OR sqrt((p.x - s.x) ** 2 + (p.z - s.z) ** 2) >= {distance} OR {_TURN.format('p.heading', 's.heading')} >= {angle} OR p.t - s.t >= {seconds})"
+    return f"""SELECT * FROM (WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}), p AS MATERIALIZED (SELECT p.*, p.usable AND {slow} AS open FROM o p LEFT JOIN o b ON b.capture = p.capture AND b.i = p.i - 1),
+ s AS (SELECT DISTINCT capture, 0::BIGINT AS i, false AS kept_now, NULL::BIGINT AS kept, NULL::DOUBLE AS x, NULL::DOUBLE AS z, NULL::DOUBLE AS heading, NULL::DOUBLE AS t FROM o UNION ALL
+  SELECT capture, i, take, CASE WHEN take THEN pose ELSE kept END, CASE WHEN take THEN px ELSE x END, CASE WHEN take THEN pz ELSE z END, CASE WHEN take THEN ph ELSE heading END, CASE WHEN take THEN pt ELSE t END FROM (
+   SELECT s.*  EXCLUDE (i, kept_now), p.i, p.pose, p.x AS px, p.z AS pz, p.heading AS ph, p.t AS pt, p.open AND {far} AS take FROM s JOIN p ON p.capture = s.capture AND p.i = s.i + 1))
+ SELECT capture, kept AS pose, t FROM s WHERE kept_now)"""
+
+
+@query(_keyframes_sql(0.04, 4.0, 0.6, 90.0), "v_poses")
 def keyframe_select(spark, d):
-    return windows.select_keyframes(poses(spark, d), 0.5, 30.0, 100000.0)
+    return windows.select_keyframes(poses(spark, d).withColumn("usable", F.col("pose") % 13 != 0))
+
+
+@query(_keyframes_sql(0.9, 45.0, 100000.0, 0.01), "v_poses")
+def keyframe_select_wide(spark, d):
+    """Thresholds of the size of these poses' steps, so that each condition decides for some of them."""
+    return windows.select_keyframes(poses(spark, d).withColumn("usable", F.col("pose") % 13 != 0), 0.9, 45.0, 100000.0, 0.01)
 
 
-@query()
+@query(f"""SELECT * FROM (WITH RECURSIVE o AS MATERIALIZED ({_ORDERED}),
+ s AS (SELECT DISTINCT capture, 0::BIGINT AS i, NULL::BIGINT AS pose, -1 AS submap, 0 AS size, NULL::DOUBLE AS x, NULL::DOUBLE AS z, NULL::DOUBLE AS heading FROM o UNION ALL
+  SELECT capture, i, pose, CASE WHEN fresh THEN submap + 1 ELSE submap END, CASE WHEN fresh THEN 1 ELSE size + 1 END, CASE WHEN fresh THEN px ELSE x END, CASE WHEN fresh THEN pz ELSE z END, CASE WHEN fresh THEN ph ELSE heading END FROM (
+   SELECT s.* EXCLUDE (i, pose), p.i, p.pose, p.x AS px, p.z AS pz, p.heading AS ph, s.size = 0 OR s.size >= 30 OR sqrt((p.x - s.x) ** 2 + (p.z - s.z) ** 2) > 1 OR {_TURN.format('p.heading', 's.heading')} > 40 AS fresh
+   FROM s JOIN o p ON p.capture = s.capture AND p.i = s.i + 1))
+ SELECT capture, pose, CAST(submap AS INT) AS submap FROM s WHERE i > 0)""", "v_poses")
 def submap_sessions(spark, d):
     return windows.submaps(poses(spark, d))
 
@@ -205,7 +231,10 @@ def ordered_distinct_warnings(spark, d):
     return windows.ordered_distinct(read(spark, d, "events").select(F.col("event_type").alias("warning"), "event_id"), "warning", "event_id")
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE f AS (SELECT capture, list(pose ORDER BY pose) AS ids, list(x ORDER BY pose) AS m FROM v_poses GROUP BY capture UNION ALL
+  SELECT capture, list_concat(ids[:k - 1], ids[k + 1:]), list_concat(list_concat(m[:k - 1], [m[k] + m[k + 1]]), m[k + 2:]) FROM (
+   SELECT capture, ids, m, 1 + list_position(m[2:len(m) - 1], list_min(m[2:len(m) - 1])) AS k FROM f WHERE len(ids) > 5))
+ SELECT capture, unnest(ids) AS seq, unnest(m) AS motion FROM f WHERE len(ids) <= 5)""", "v_poses")
 def thin_frames(spark, d):
     frames = poses(spark, d).select("capture", F.col("pose").alias("seq"), F.col("x").alias("motion"))
     return windows.thinned(frames, 5, "capture")
