@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, hot_keys, spread_join
 
 #: The tree has this many levels at most, whatever the number of runs.
 LEVELS = 3
@@ -54,8 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = cut(digests(docs, id_col, text_col))
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    best = merge_runs(rows, max(2, runs))
-    return rows.join(best, ["digest", "check"]).select(
+    best = cut(merge_runs(rows, max(2, runs)))
+    return spread_join(rows, best, ["digest", "check"], hot_keys(best, "digest", "group_size")).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
