@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches
+from .common import cut, hot_keys, own_name, short_batches, spread_join
 from .graph import components
 
 WORDS = 4
@@ -69,13 +69,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
+#: The further segments, counted from a chain's start, that one of its keys holds besides the start.
+CHAINS = ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4))
+
+
 def ring_keys(fps: DataFrame) -> DataFrame:
     """(key, fp): the keys under which two fingerprints that can be linked must meet.
 
     Pigeonring: if the 7 segments differ in 4 bits together, some segment starts a chain whose first l
-    segments differ in at most 4 l / 7 bits for every l. So the first is equal (0.57), and of the first
-    three at most one bit differs (1.71): the second or the third is equal as well. Each start gives
-    two keys, of the start with the one and with the other.
+    segments differ in at most 4 l / 7 bits for every l. So the first is equal (0.57); of the first three
+    at most one bit differs (1.71), so the second or the third is equal; of the first five at most two bits
+    differ (2.86). If the second is equal, one of the next three is, too; if it isn't, its bit is one of the two, and one of the fourth and the
+    fifth is equal beside the third. Each start gives five keys of three segments, 27 bits or 28.
     """
     def segment(i):
         first, bits = SEGMENTS[i % len(SEGMENTS)]
@@ -83,11 +88,16 @@ def ring_keys(fps: DataFrame) -> DataFrame:
 
     keys = []
     for i in range(len(SEGMENTS)):
-        for j in (1, 2):
-            keys.append(F.shiftleft(segment(i), 14) + segment(i + j) + F.lit((2 * i + j) << 28))
+        for c, (j, k) in enumerate(CHAINS):
+            keys.append(F.shiftleft(segment(i), 20) + F.shiftleft(segment(i + j), 10) + segment(i + k) + F.lit((len(CHAINS) * i + c) << 30))
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def start_of(key: np.ndarray) -> np.ndarray:
+    """The segment that starts a key's chain."""
+    return (key >> 30) // len(CHAINS)
+
+
 def chained(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether the chain from segment `start` keeps within its budget at every length, for differences x."""
     parts = np.stack([np.bitwise_count((x >> np.uint64(f)) & np.uint64((1 << b) - 1)) for f, b in SEGMENTS], 1)
@@ -166,7 +176,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not len(at):
             break
         x = fp[at] ^ fp[at + d]
-        kept = chained(x, ((key[at] >> 28) - 1) // 2)
+        kept = chained(x, start_of(key[at]))
         at, x = at[kept], x[kept]
         near = np.bitwise_count(x) <= RADIUS
         us.append(fp[at[near]])
@@ -224,20 +234,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each give a row. No rows in, no rows out; other columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = cut(nodes)
+    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     joined = components(links(nodes.select("fp")))
-    rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(answer, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = cut(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    answer = spread_join(rooted, named, ["root"], hot_keys(named, "root", "fps")).select("fp", "component_id")
+    found = spread_join(marked, answer, ["fp"], hot_keys(nodes, "fp"))
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one with the least doc_id. Columns as in docs.
 
-    Rows that repeat a doc_id stay or go together; a null doc_id stays only if its component has no other.
+    Rows that repeat a doc_id stay or go together; a null doc_id stays only if its component has no other. Null and empty texts are
+    one component; no rows in, no rows out.
     """
-    kept = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kid")).distinct()
+    kid = own_name("_kid", docs)
+    kept = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kid)).distinct()
     short_batches(docs.sparkSession)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kid")), "left_semi").select(*docs.columns)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kid)), "left_semi").select(*docs.columns)
