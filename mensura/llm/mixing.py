@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, own_name
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -27,29 +27,40 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds place, from 0, in order of the sources' code points, null last. They are sorted in ranges, each of which only counts its own."""
+    placed = cut(sources.orderBy(F.col("source").asc_nulls_last())).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = cut(placed)
+    before, starts = 0, []
+    for p, n in sorted(map(tuple, placed.groupBy("_p").count().collect())):
+        starts.append((p, before))
+        before += n
+    named = sources.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return placed.join(F.broadcast(named), "_p").withColumn("place", F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Adds weight and target to (source, s, total, ...).
 
     Sources in code point order, null last, weigh as the repeating weights say and share `share` of all
-    words; no target goes over `most` times its source's words. Resharing the excess by weight ends where
-    all open sources have one level of words a unit of weight; the level follows from the
-    sources sorted by cap a weight.
+    words; no target goes over `most` times its source's words. What is left over is reshared among the others by weight until none is
+    above: a round is a sum over all sources, which gives the words that a unit of weight gets.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sources.withColumn("weight", F.element_at(listed, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     cap = F.col("total") * F.lit(float(most))
-    by_ratio = Window.orderBy(F.col("ratio"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    return (
-        ranked.withColumn("ratio", cap / F.col("weight"))
-        .withColumn("_caps", F.coalesce(F.sum(cap).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_level", (F.sum("total").over(whole) * share - F.col("_caps")) / F.col("_open"))
-        .withColumn("_level", F.max(F.when(F.col("_level") <= F.col("ratio"), F.col("_level"))).over(whole))
-        .withColumn("target", F.least(cap, F.coalesce(F.col("_level") * F.col("weight"), cap)))
-        .drop("ratio", "_caps", "_open", "_level")
-    )
+    weighed = cut(ranked(sources).withColumn("weight", F.element_at(listed, (F.col("place") % len(weights) + 1).cast("int"))).drop("place"))
+    exact = lambda c: F.sum(c.cast("decimal(28,0)")).cast("double")
+    whole = weighed.agg(exact(F.col("total"))).first()[0] or 0.0
+    level = 0.0
+    while True:
+        full = cap <= F.lit(level) * F.col("weight")
+        capped, open_ = weighed.agg(exact(F.when(full, cap)), exact(F.when(~full, F.col("weight")))).first()
+        following = (whole * share - (capped or 0.0)) / open_ if open_ else level
+        if not following > level:
+            break
+        level = following
+    full = F.lit(bool(not open_)) | (cap <= F.lit(level) * F.col("weight"))
+    return weighed.withColumn("target", F.when(full, cap).otherwise(F.lit(level) * F.col("weight")))
 
 
 def _rate(lam, x, most: int):
@@ -60,13 +71,13 @@ def solve(cells: DataFrame, goals: DataFrame, most: int = MOST, rounds: int = 40
     """lam for each source: Newton's iterations on the convex dual of entropy balancing.
 
     A document of x = size / mean size has the rate min(most, exp(lam x)): the rates nearest to one copy
-    each, in relative entropy, that meet the words asked for without passing `most`. A round sums words and
+    each, in relative entropy, that meet the words asked for without passing `most`; sources that need that of all have no lam. A round sums words and
     slope over all cells (equal documents of a source count as one cell), steps, and halves the bracket
     where a step leaves it. Sums are decimals: they don't depend on the order of adding.
     """
     t, s = F.col("target"), F.col("total")
     least_x = F.col("least") / F.col("mean")
-    params = goals.where("target > 0").select(
+    params = goals.where((t > 0) & (t < s * most)).select(
         "s", "total", "target", "mean",
         F.when(t < s, F.log(t / s) / least_x).otherwise(F.lit(0.0)).alias("lo"),
         F.when(t < s, F.lit(0.0)).otherwise(F.log(F.lit(float(most))) / least_x).alias("hi"),
@@ -95,6 +106,8 @@ def solve(cells: DataFrame, goals: DataFrame, most: int = MOST, rounds: int = 40
         )
         if not (params.agg(F.max("gap")).first()[0] or 0.0):
             break
+    else:
+        raise RuntimeError("entropy balancing did not settle")
     return params.select("s", "lam")
 
 
@@ -160,9 +173,10 @@ def _nearer(drawn: DataFrame, most: int) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, each as often as it takes it, with the columns of docs.
 
-    Rows that share a doc_id share a decision: the most copies any of them has. Documents without words have
-    no share in a mix of words and aren't taken.
+    Rows that share a doc_id (or have none) share a decision: the most copies any of them has. Documents without words, null texts
+    among them, have no share in a mix of words and aren't taken. No rows in, no rows out.
     """
-    chosen = mix(docs).groupBy(F.col("doc_id").alias("_mid")).agg(F.max("copies").alias("_mk")).where("_mk > 0")
-    taken = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mid")))
-    return taken.withColumn("_mc", F.explode(F.expr("sequence(1L, _mk)"))).select(*docs.columns)
+    mid, mk = own_name("_mid", docs), own_name("_mk", docs)
+    chosen = mix(docs).groupBy(F.col("doc_id").alias(mid)).agg(F.max("copies").alias(mk)).where(F.col(mk) > 0)
+    taken = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(mid)))
+    return taken.withColumn(mid, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mk)))).select(*docs.columns)
