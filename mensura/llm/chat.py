@@ -33,6 +33,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2", text)
 
 
+def escape_role(role: str) -> str:
+    """As escape, and without a colon, so that the string that starts a text can't stand in a role."""
+    return escape(role.replace("\\", r"\\").replace(":", r"\c"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: ":" if m[1] == "c" else m[1], unescape(role), flags=re.S)
+
+
 class Codec:
     """A tokenizer with three reserved ids after its own."""
 
@@ -76,7 +85,7 @@ def assemble(codec: Codec, turns: list[tuple[str, str]]) -> list[tuple[list[int]
 
     The mask is the prefix sum of +1 where a segment to be learned starts and -1 where it ends.
     """
-    roles, texts = codec.encode([escape(r) for r, _ in turns]), codec.encode([escape(t) for _, t in turns])
+    roles, texts = codec.encode([escape_role(r) for r, _ in turns]), codec.encode([escape(t) for _, t in turns])
     out = []
     for (role, _), r, t in zip(turns, roles, texts):
         ids = [codec.first, *r, codec.first + 1, *t, codec.first + 2]
@@ -91,18 +100,17 @@ def assemble(codec: Codec, turns: list[tuple[str, str]]) -> list[tuple[list[int]
 def read_turn(codec: Codec, ids: list[int], mask: list[int]) -> tuple[str, str, str | None]:
     """(role, text, text under the mask) of an assembled turn; None if the mask is empty."""
     body, end = ids.index(codec.first + 1), len(ids) - 1
-    role, text = unescape(codec.decode(ids[1:body])), unescape(codec.decode(ids[body + 1 : end]))
+    role, text = unescape_role(codec.decode(ids[1:body])), unescape(codec.decode(ids[body + 1 : end]))
     learned = [i for i, m in zip(ids, mask) if m]
     return role, text, unescape(codec.decode(learned)) if learned else None
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted plain text; texts can't hold a bare mark, so this is exact
-    for roles without the string that starts a text."""
+    """(role, text) of each turn of a formatted plain text; texts can't hold a bare mark nor roles a colon, so this is exact."""
     turns = []
     for part in formatted.split(CLOSE)[:-1]:
         role, _, text = part.removeprefix(TURN).partition(BODY)
-        turns.append((unescape(role), unescape(text)))
+        turns.append((unescape_role(role), unescape(text)))
     return turns
 
 
@@ -175,7 +183,7 @@ ORACLE = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS escaped, regexp_replace(role, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS shown FROM r)
+e AS (SELECT *, regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS escaped, regexp_replace(replace(replace(role, '\', '\\'), ':', '\c'), '(\\*)(###|</turn>)', '\\\1\2', 'g') AS shown FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
