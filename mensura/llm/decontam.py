@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import short_batches
 
@@ -139,6 +140,11 @@ class HammingTable:
         return pairs // len(self.prints), pairs % len(self.prints)
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the known ones, which are in order."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Items:
     """A bounded block of benchmark items, ready to be looked for in documents."""
 
@@ -153,61 +159,56 @@ class Items:
         self.tables: dict[int, HammingTable] = {}
         self.by_width = {}
         for w in np.unique(self.width).tolist():
-            mine = np.flatnonzero(self.width == w)
-            pairs = np.concatenate([np.stack([self.own[i], np.full(len(self.own[i]), i, np.uint64)], 1) for i in mine])
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            seen = np.zeros(1 << 22, bool)
-            seen[(pairs[:, 0] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.by_width[w] = (seen, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64))
+            lengths = np.unique(self.words[self.width == w]).tolist()
+            of = {n: np.unique(np.concatenate([self.own[i] for i in np.flatnonzero(self.words == n)])) for n in lengths}
+            self.by_width[w] = (self._seen(of), np.unique(np.concatenate(list(of.values()))), of)
+
+    @staticmethod
+    def _seen(of: dict[int, np.ndarray]) -> np.ndarray:
+        """A bit for each value of a hash's end; most shingles of a document have none."""
+        seen = np.zeros(1 << 22, bool)
+        for h in of.values():
+            seen[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        return seen
 
     def __getstate__(self):
-        return {"ids": self.ids, "words": self.words, "width": self.width, "own": self.own, "prints": self.prints, "by_width": {w: (None, a, b) for w, (_, a, b) in self.by_width.items()}}
+        return self.__dict__ | {"tables": {}, "by_width": {w: (None, h, of) for w, (_, h, of) in self.by_width.items()}}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.tables = {}
-        for w, (_, a, b) in self.by_width.items():
-            seen = np.zeros(1 << 22, bool)
-            seen[(a & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.by_width[w] = (seen, a, b)
+        self.by_width = {w: (self._seen(of), h, of) for w, (_, h, of) in self.by_width.items()}
 
     def table(self, k: int) -> HammingTable:
         if k not in self.tables:
             self.tables[k] = HammingTable(self.prints[k * TABLE_ITEMS : (k + 1) * TABLE_ITEMS])
         return self.tables[k]
 
-    def find(self, text: str | None) -> list[tuple[object, float, int, int]]:
-        """(item id, similarity, first word, distance) of the best window for each item found, by item order."""
+    def find(self, text: str | None) -> list[tuple[object, float, int, int, int]]:
+        """(item id, similarity, first word, words, distance) of the best window for each item found, by item order."""
         h = word_hashes(text, _known)
         best: dict[int, tuple[float, int, int]] = {}
-        for w, (seen, hashes, owner) in self.by_width.items():
+        for w, (seen, hashes, of) in self.by_width.items():
             s = shingles(h, w)
-            at = np.flatnonzero(seen[(s & np.uint64((1 << 22) - 1)).astype(np.int64)]) if len(s) else ()
-            if not len(at):
-                continue
-            low, high = np.searchsorted(hashes, s[at]), np.searchsorted(hashes, s[at], "right")
-            at, low, high = (x[high > low] for x in (at, low, high))
+            at = np.flatnonzero(seen[(s & np.uint64((1 << 22) - 1)).astype(np.int64)]) if len(s) else np.empty(0, np.int64)
+            at = at[_among(s[at], hashes)]
             if len(at):
-                self._windows(s, w, at, low, high, owner, best)
-        return [(self.ids[i], *best[i]) for i in sorted(best)]
-
-    def _windows(self, s, w, at, low, high, owner, best) -> None:
-        """Windows that share no shingle with an item have similarity zero; all others are fingerprinted."""
-        n = high - low
-        where = np.repeat(at, n)
-        whose = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        lengths = self.words[whose]
-        for length in np.unique(lengths).tolist():
-            size = min(length - w + 1, len(s))
-            hit = np.unique(where[lengths == length])
-            mark = np.zeros(len(s) + 2, np.int32)
-            np.add.at(mark, np.maximum(hit - size + 1, 0), 1)
-            np.add.at(mark, np.minimum(hit, len(s) - size) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(mark)[: len(s) - size + 1] > 0)
-            first, last = np.searchsorted(self.words, length), np.searchsorted(self.words, length, "right")
-            for k in range(0, len(starts), STARTS):
-                for part in np.split(starts[k : k + STARTS], np.flatnonzero(np.diff(starts[k : k + STARTS]) > size) + 1):
-                    self._verify(s, part, size, int(first), int(last), w, best)
+                for length, own in of.items():
+                    self._windows(s, w, at[_among(s[at], own)], length, best)
+        return [(self.ids[i], best[i][0], best[i][1], int(self.words[i]), best[i][2]) for i in sorted(best)]
+
+    def _windows(self, s, w, hit, length, best) -> None:
+        """Windows that share no shingle with an item of their length have similarity zero; all others are fingerprinted."""
+        if not len(hit):
+            return
+        size = min(length - w + 1, len(s))
+        mark = np.zeros(len(s) + 2, np.int32)
+        np.add.at(mark, np.maximum(hit - size + 1, 0), 1)
+        np.add.at(mark, np.minimum(hit, len(s) - size) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(mark)[: len(s) - size + 1] > 0)
+        first, last = np.searchsorted(self.words, length), np.searchsorted(self.words, length, "right")
+        for k in range(0, len(starts), STARTS):
+            for part in np.split(starts[k : k + STARTS], np.flatnonzero(np.diff(starts[k : k + STARTS]) > size) + 1):
+                self._verify(s, part, size, int(first), int(last), w, best)
 
     def _verify(self, s, starts, size, first, last, w, best) -> None:
         prints = window_prints(s, starts, size)
@@ -241,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per (document, item) found: id, item id, similarity, first_word, n_words, distance.
 
     A window has as many words as the item (all the document's, if it has fewer); it matches at a weighted
-    Jaccard of five-word shingles of 0.8 or more (an item of fewer words is one shingle). Words are
+    Jaccard of five-word shingles of 0.8 or more (an item of fewer words is one shingle), shingles being told by 64-bit hashes. Words are
     lower-cased and lose outer punctuation. Null and empty texts, of documents or items, match nothing; repeated
     documents or items give rows each; null ids are kept. Empty tables give no rows. The benchmark
     goes through the documents block by block, a pass a block, so that a worker's share is bounded.
@@ -249,21 +250,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     short_batches(spark)
     kinds = [docs.schema[id_col].dataType, benchmark.schema[item_col].dataType]
+    item_kind = to_arrow_type(kinds[1])
+    names = [id_col, item_col, "similarity", "first_word", "n_words", "distance"]
     schema = f"{id_col} {kinds[0].simpleString()}, {item_col} {kinds[1].simpleString()}, similarity double, first_word long, n_words long, distance int"
     found = spark.createDataFrame([], schema)
     for items in blocks_of(benchmark, item_col, text_col):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            items = shared.value
-            size = dict(zip(items.ids, items.words.tolist()))
             for b in batches:
-                rows = [(i, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in items.find(t)]
-                i, item, sim, first, dist = zip(*rows) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, b.schema.field(0).type), pa.array(item, pa.from_numpy_dtype(np.int64) if all(isinstance(x, int) or x is None for x in item) else None), pa.array(sim, pa.float64()), pa.array(first, pa.int64()), pa.array([size[x] for x in item], pa.int64()), pa.array(dist, pa.int32())],
-                    [id_col, item_col, "similarity", "first_word", "n_words", "distance"],
-                )
+                rows = [(i, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in shared.value.find(t)]
+                columns = zip(*rows) if rows else ((),) * 6
+                types = (b.schema.field(0).type, item_kind, pa.float64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         found = found.unionByName(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema))
     return found
