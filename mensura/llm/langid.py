@@ -18,9 +18,12 @@ SEED = 7
 #: Gram vectors that a worker keeps; others are bound anew each time.
 KEPT = 1 << 14
 UNKNOWN = "und"
-#: A filter rejects a document whose text has no letters or whose best cosine isn't over this: short clean texts
-#: have small cosines, so only texts that resemble no language at all go.
-LEAST_COSINE = 0.0
+#: Languages whose grams a task counts at once.
+HELD_LANGS = 32
+#: A filter asks for a cosine of ROOT_COSINE times the root of a text's number of grams, up to LEAST_COSINE: vectors of grams that no
+#: language has come out at 0.03, seldom at 0.1, random Latin letters at 0.16 where a text is long; clean texts of forty grams or
+#: more have 0.25 at least, shorter ones can have less.
+ROOT_COSINE, LEAST_COSINE = 0.01, 0.16
 
 
 def _slots() -> np.ndarray:
@@ -97,21 +100,31 @@ def space() -> Space:
 
 
 class Profiles:
-    """A prototype per language: the bundle of all grams of its documents, less what all languages share."""
+    """A prototype per language: the bundle of all grams of its documents, at unit length."""
 
     def __init__(self, langs: list[str], bundles: np.ndarray):
         self.langs = langs
         unit = bundles / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
         self.unit = unit.astype(np.float32)
 
+    def best(self, grams: np.ndarray) -> tuple[int, float]:
+        """The nearest prototype and its cosine."""
+        v = space().bundle(grams)
+        cos = self.unit @ v / max(float(np.linalg.norm(v)), 1e-9)
+        k = int(np.argmax(cos))
+        return k, float(cos[k])
+
     def predict(self, text: str | None) -> tuple[str, float]:
         grams = space().grams(text)
         if not len(grams) or not self.langs:
             return UNKNOWN, 0.0
-        v = space().bundle(grams)
-        cos = self.unit @ v / max(float(np.linalg.norm(v)), 1e-9)
-        k = int(np.argmax(cos))
-        return self.langs[k], float(min(1.0, max(0.0, cos[k])))
+        k, cos = self.best(grams)
+        return self.langs[k], min(1.0, max(0.0, cos))
+
+    def told(self, text: str | None, least: float) -> bool:
+        """Whether the text is near enough to a language, for its length."""
+        grams = space().grams(text)
+        return bool(len(grams) and self.langs and self.best(grams)[1] > min(least, ROOT_COSINE * len(grams) ** 0.5))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
@@ -122,22 +135,28 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
     """
     short_batches(docs.sparkSession)
 
+    def rows(counts):
+        for lang, held in counts.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "gram", "n"])
+
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if lang not in counts and len(counts) >= HELD_LANGS:
+                    yield from rows(counts)
+                    counts = {}
                 held = counts.setdefault(lang, np.zeros(SLOTS**GRAM, np.int64))
                 grams = space().grams(text)
                 if len(grams) * 16 > len(held):
                     held += np.bincount(grams, minlength=len(held))
                 else:
                     np.add.at(held, grams, 1)
-        for lang, held in counts.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "gram", "n"])
+        yield from rows(counts)
 
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sums = labelled.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique().tolist())
     bundles = np.zeros((len(langs), DIMENSIONS))
     for k, lang in enumerate(langs):
@@ -178,14 +197,17 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """The documents whose language can be told, with all their columns: some letter, and a cosine over `least`."""
+    """The documents whose language can be told, with all their columns: some letter, and a cosine over `least`, or less for short texts.
+
+    Null and empty texts go, as does everything if no row has a language to learn from. Repeated rows stay or go alike, whatever else
+    they hold; no rows in, no rows out.
+    """
     profiles = train_fold(docs)
     at = docs.columns.index("text")
     short_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            found = [profiles.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score > least for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([profiles.told(t, least) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
