@@ -10,9 +10,9 @@ _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements whose content isn't text of the page, elements without content, and elements inside lines.
-HIDDEN = frozenset("script style noscript template textarea title iframe object svg math select option canvas audio video head".split()) - {"head"}
+HIDDEN = frozenset("script style noscript template textarea title iframe svg select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 #: A start tag of one of these ends an open paragraph; one of the second kind ends an open one of its own kind.
 _SELF_ENDING = frozenset("li dt dd tr td th p option".split())
 _ENDS_AT = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}

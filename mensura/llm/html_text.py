@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -349,16 +350,29 @@ def train(pages: int = PAGES, steps: int = STEPS, seed: int = SEED) -> Labeller:
     return model
 
 
+#: Weights that train() has fitted, kept beside this module; a change of the features, the pages or the fitting takes a new version.
+WEIGHTS = "block_labeller_v1.npz"
 _fitted: list[Labeller] = []
 
 
 def labeller() -> Labeller:
-    """The fitted labeller, fitted once a process."""
+    """The fitted labeller, read once a process; fitted anew where the package has no weights."""
     if not _fitted:
-        _fitted.append(train())
+        kept = resources.files(__package__) / WEIGHTS
+        model = Labeller(SEED) if kept.is_file() else train()
+        if kept.is_file():
+            with kept.open("rb") as f:
+                model.w = dict(np.load(f))
+        _fitted.append(model)
     return _fitted[0]
 
 
+def main() -> None:
+    """Fits the labeller and writes its weights: python -m mensura.llm.html_text"""
+    with open(resources.files(__package__) / WEIGHTS, "wb") as f:
+        np.savez_compressed(f, **train().w)
+
+
 def main_text(found: list[Block], kept: np.ndarray) -> str:
     return "\n\n".join(b.text for b, k in zip(found, kept) if k)
 
@@ -383,3 +397,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page
 
     got = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
     return got.withColumnsRenamed({"id": id_col, "url": url_col})
+
+
+if __name__ == "__main__":
+    main()
