@@ -27,7 +27,7 @@ def relabelled(document: Column, old: str, new: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\f\r\x0b]+", " "))
 
 
 def escaped_html(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measure import conformal_score, interval, scale_power
+from . import order
 
 ALPHA_TENTHS = 1
 LEAST_ITEMS, LEAST_TRAINING = 8, 3
@@ -34,13 +35,16 @@ def scored(items: DataFrame) -> DataFrame:
     return items.withColumn("s", conformal_score(c("truth"), c("value"), c("lo"), c("hi")))
 
 
+def _place(n):
+    return F.expr(f"(9 * ({n} + 1) + 9) div 10")
+
+
 def conformal_factor(scores: DataFrame, *keys: str) -> DataFrame:
     """Per key the ceil(0.9 (n + 1))-th smallest score; beyond n, a quarter more than the largest."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy("s"))
-    placed = scores.select(*keys, "s", n.alias("n"), k.alias("k")).withColumn("place", F.expr("(9 * (n + 1) + 9) div 10"))
-    picked = F.max(F.when(F.col("k") == F.col("place"), F.col("s")))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.coalesce(picked, F.max("s") * 1.25).alias("factor"))
+    values = order.counted(scores, "s", *keys)
+    m = values.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max("s").alias("most"))
+    found = order.picked(values, "s", m.select(*keys, _place("n").alias("rank")), *keys).drop("rank")
+    return m.join(found, list(keys), "left").select(*keys, "n", F.coalesce("s", F.col("most") * 1.25).alias("factor"))
 
 
 def factors(items: DataFrame, least: int = LEAST_ITEMS) -> DataFrame:
@@ -57,28 +61,41 @@ def pooled_counts(items: DataFrame) -> DataFrame:
     return rows.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.median("s").alias("median_score"))
 
 
+def _others_factor(scores: DataFrame, held: str, *keys: str) -> DataFrame:
+    """(keys, held, n, factor): conformal_factor of all rows of the keys but the held one's."""
+    most = F.least(_place("n"), F.col("n"))
+    at = order.others_ranks(scores, "s", held, most, *keys).where("n > 0")
+    values = order.at_ranks(scores, "s", at.select(*keys, "rank"), *keys)
+    beyond = F.when(_place("n") > F.col("n"), 1.25).otherwise(1.0)
+    return at.join(values, [*keys, "rank"]).select(*keys, held, "n", (F.col("s") * beyond).alias("factor"))
+
+
 def leave_one_out(items: DataFrame, least: int = LEAST_ITEMS, training: int = LEAST_TRAINING) -> DataFrame:
     """Share of held-out items within the factor of the other captures' items, of the kind or, if rare, the tier."""
     s = scored(items).select("capture", "tier", "kind", "s")
-    size = s.groupBy("tier", "kind").agg(F.count("*").alias("n"))
-    folds = s.select("tier", "kind", F.col("capture").alias("held")).distinct().join(size, ["tier", "kind"])
-    pool = s.select("tier", F.col("capture").alias("c"), F.col("kind").alias("k"), "s")
-    train = folds.join(pool, "tier").where((F.col("c") != F.col("held")) & ((F.col("k") == F.col("kind")) | (F.col("n") < least))).select("tier", "kind", "held", "s")
-    learned = conformal_factor(train, "tier", "kind", "held").where(F.col("n") >= training).select("tier", "kind", "held", "factor")
-    test = s.withColumnRenamed("capture", "held").join(learned, ["tier", "kind", "held"])
-    return test.groupBy("tier", "kind").agg(F.count("*").alias("tested"), F.avg((F.col("s") <= F.col("factor")).cast("double")).alias("loo_coverage"))
+    rare = F.col("n_kind") < least
+    size = s.groupBy("tier", "kind").agg(F.count("*").alias("n_kind"))
+    own = _others_factor(s, "capture", "tier", "kind").withColumnsRenamed({"n": "n_own", "factor": "f_own"})
+    pooled = _others_factor(s.select("tier", "capture", "s"), "capture", "tier").withColumnsRenamed({"n": "n_all", "factor": "f_all"})
+    test = s.join(size, ["tier", "kind"]).join(own, ["tier", "kind", "capture"], "left").join(pooled, ["tier", "capture"], "left")
+    learned = test.withColumns({"n": F.when(rare, F.col("n_all")).otherwise(F.col("n_own")), "factor": F.when(rare, F.col("f_all")).otherwise(F.col("f_own"))}).where(F.col("n") >= training)
+    return learned.groupBy("tier", "kind").agg(F.count("*").alias("tested"), F.avg((F.col("s") <= F.col("factor")).cast("double")).alias("loo_coverage"))
 
 
 def depth_scale(items: DataFrame) -> DataFrame:
     """The LiDAR length ratio exp(median ln(truth / value)), and held-out errors with and without it; adopted if 5 % better."""
     sel = items.where((F.col("tier") == "lidar") & F.col("kind").isin(*SCALE_KINDS) & (F.col("value") > 0) & (F.col("truth") > 0))
-    sel = sel.select("capture", "value", "truth", F.log(F.col("truth") / F.col("value")).alias("g"))
-    held = sel.select(F.col("capture").alias("held")).distinct()
-    learned = held.join(sel, F.col("held") != F.col("capture")).groupBy("held").agg(F.exp(F.median("g")).alias("r"))
-    tested = sel.join(learned, F.col("capture") == F.col("held"))
+    sel = sel.select(F.lit(0).alias("_one"), "capture", "value", "truth", F.log(F.col("truth") / F.col("value")).alias("g"))
+    middle = [order.others_ranks(sel, "g", "capture", F.expr(p), "_one").select("_one", "capture", "n", "rank") for p in ("(n + 1) div 2", "n div 2 + 1")]
+    at = middle[0].unionByName(middle[1]).where("n > 0")
+    values = order.at_ranks(sel, "g", at.select("_one", "rank"), "_one")
+    learned = at.join(values, ["_one", "rank"]).groupBy("capture").agg(F.exp(F.avg("g")).alias("r"))
+    tested = sel.join(learned, "capture")
     errors = tested.agg(F.avg(F.abs(F.col("value") - F.col("truth"))).alias("before"), F.avg(F.abs(F.col("value") * F.col("r") - F.col("truth"))).alias("after"))
-    whole = sel.agg(F.count("*").alias("n"), F.count_distinct("capture").alias("captures"), F.exp(F.median("g")).alias("ratio"))
-    return whole.join(errors).withColumn("adopted", (F.col("after") < 0.95 * F.col("before")) & (F.col("n") >= 6) & (F.col("captures") >= 2))
+    whole = sel.agg(F.count("*").alias("n"), F.count_distinct("capture").alias("captures"), F.lit(0).alias("_one"))
+    ratio = order.medians(sel, "g", "ratio", "_one").select("_one", F.exp("ratio").alias("ratio"))
+    found = whole.join(ratio, "_one").join(errors.withColumn("_one", F.lit(0)), "_one").drop("_one")
+    return found.withColumn("adopted", (F.col("after") < 0.95 * F.col("before")) & (F.col("n") >= 6) & (F.col("captures") >= 2))
 
 
 def rescaled(items: DataFrame, ratio) -> DataFrame:

@@ -316,11 +316,46 @@ def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.n
     return out
 
 
-def segment_rooms(interior: np.ndarray, size: float, marker: float = 0.35, least: float = 1.0) -> np.ndarray:
-    """Rooms of a floor mask: cells well inside start rooms, which grow into the rest; small rooms join the neighbour they share most with.
-    Numbered by area, largest first."""
-    depth = distance_transform(interior) * size
-    rooms = watershed(depth, label(depth >= marker), interior)
+def interior(free: np.ndarray, floor: np.ndarray, walls: np.ndarray, size: float, rays: float = 2.0, streak: float = 0.08, least: float = 1.0, hole: float = 1.5) -> np.ndarray:
+    """Floor of rooms: cells that rays cross or where the floor was seen, away from walls, without thin streaks, small islands and small holes."""
+    inside = ((free >= rays) | (floor >= 1)) & ~dilate(walls, 1)
+    inside = opened(inside, max(int(round(streak / size)), 1))
+    parts = label(inside)
+    big = np.bincount(parts.ravel()) >= max(int(least / size**2), 1)
+    big[0] = False
+    return fill_holes(big[parts], int(hole / size**2))
+
+
+def h_maxima(height: np.ndarray, h: float) -> np.ndarray:
+    """Cells of peaks that rise by `h` over the saddles around them: where the height, lowered by h and grown under itself, stays h below."""
+    low, last = np.maximum(height - h, 0.0), None
+    while last is None or not np.array_equal(low, last):
+        last = low
+        padded = np.pad(low, 1)
+        grown = np.max([padded[1 + dy : 1 + dy + low.shape[0], 1 + dx : 1 + dx + low.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+        low = np.minimum(grown, height)
+    return height - low >= h - 1e-9
+
+
+def _boundaries(rooms: np.ndarray, size: float) -> dict[tuple[int, int], float]:
+    """Length of the boundary between each two rooms that touch."""
+    a = np.concatenate([rooms[:, :-1].ravel(), rooms[:-1].ravel()])
+    b = np.concatenate([rooms[:, 1:].ravel(), rooms[1:].ravel()])
+    met = (a != b) & (a > 0) & (b > 0)
+    pairs, n = np.unique(np.stack([np.minimum(a, b)[met], np.maximum(a, b)[met]], 1), axis=0, return_counts=True)
+    return {tuple(p): k * size for p, k in zip(pairs.tolist(), n.tolist())}
+
+
+def segment_rooms(interior: np.ndarray, size: float, marker: float = 0.35, least: float = 1.0, depth: float = 0.12, widest: float = 1.6) -> np.ndarray:
+    """Rooms of a floor mask: peaks of the distance to walls start rooms, which grow into the rest; rooms that meet along more than a door's width are
+    one; small rooms join the neighbour they share most with. Numbered by area, largest first."""
+    away = distance_transform(interior) * size
+    steps = np.round(away / size)
+    starts = label(h_maxima(steps, max(round(depth / size), 1)) & (away >= marker), True)
+    rooms = watershed(away, starts if starts.max() else label(interior), interior)
+    while wide := [(n, pair) for pair, n in _boundaries(rooms, size).items() if n > widest]:
+        _, (a, b) = max(wide)
+        rooms[rooms == b] = a
     while True:
         area = np.bincount(rooms.ravel(), minlength=rooms.max() + 1) * size * size
         small = [k for k in range(1, len(area)) if 0 < area[k] < least]

@@ -155,7 +155,7 @@ def scale_cues(depths: DataFrame, key: str) -> DataFrame:
 
 
 def band_evidence(points: DataFrame, key: str, bands=(0.06, 0.04, 0.02, 0.01)) -> DataFrame:
-    """Median height in ever narrower bands around the group's median."""
+    """Median height in ever narrower bands around the group's median; a group is a scene, which is bounded."""
     mid = points.groupBy(key).agg(F.median("y").alias("m"))
     off = F.abs(F.col("y") - F.col("m"))
     return points.join(mid, key).groupBy(key).agg(*[F.median(F.when(off <= b, F.col("y"))).alias(f"within_{int(b * 100)}cm") for b in bands])

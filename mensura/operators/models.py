@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from .joins import dot
 
 
+#: Prompts that every image is compared with, at most.
+PROMPTS = 4096
+
+
 def class_probabilities(images: DataFrame, prompts: DataFrame, scale: float = 100.0) -> DataFrame:
-    """Softmax of scaled cosines over all prompts, summed by class, with the best class; prompts are few and are broadcast."""
+    """Softmax of scaled cosines over all prompts, summed by class. Prompts are a stated set, which is broadcast; more than PROMPTS are refused."""
+    if prompts.limit(PROMPTS + 1).count() > PROMPTS:
+        raise ValueError(f"over {PROMPTS} prompts")
     p = F.broadcast(prompts.select(F.col("id").alias("prompt"), F.col("class"), F.col("v").alias("pv")))
     scores = images.select("id", "v").join(p).select("id", "prompt", "class", F.round(scale * dot("v", "pv"), 6).alias("s"))
     top = F.max("s").over(Window.partitionBy("id"))

@@ -64,13 +64,21 @@ def evaluate(regions: DataFrame, rooms: DataFrame, openings: DataFrame, rules: D
         "; ", F.concat(F.lit("class="), c("class")), F.when(~unset("surfaces"), F.concat(F.lit("surface="), c("surface"))),
         F.when(~unset("bottom_below"), F.format_string("bottom %.2f m", c("v0"))), F.when(~unset("room_types"), F.concat(F.lit("room type "), c("room_type"))),
         F.when(~unset("least_area"), F.format_string("area %.2f m2", area)), F.when(~unset("near_window"), F.lit("near a window")), F.when(~unset("near_head"), F.lit("near a head corner")))
-    return facts.join(F.broadcast(by_class), "class").where(holds).select("region", "room", "rule", "severity", said.alias("condition"))
+    return facts.join(by_class, "class").where(holds).select("region", "room", "rule", "severity", said.alias("condition"))
+
+
+#: Regions whose flags are numbered in one task.
+NUMBERED = 4096
 
 
 def flagged(found: DataFrame) -> DataFrame:
-    """Numbers flags by region, then rule."""
-    n = F.row_number().over(Window.orderBy("region", "rule"))
-    return found.withColumn("flag", F.concat(F.lit("F"), n))
+    """Numbers flags by region, then rule: within blocks of regions, after a sum over the blocks before."""
+    placed = found.withColumn("_b", F.floor(F.col("region") / NUMBERED))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    n = F.row_number().over(Window.partitionBy("_b").orderBy("region", "rule"))
+    return placed.withColumn("_k", n).join(starts, "_b").withColumn("flag", F.concat(F.lit("F"), F.col("_s") + F.col("_k"))).drop("_b", "_k", "_s")
 
 
 def pair_flags(regions: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -101,3 +109,26 @@ def integrity_errors(regions: DataFrame, rooms: DataFrame, openings: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def semantic_errors(rooms: DataFrame, surfaces: DataFrame, walls: DataFrame, openings: DataFrame, adjacency: DataFrame, regions: DataFrame, flags: DataFrame, scope: DataFrame) -> DataFrame:
+    """(check, id, missing): what refers to nothing in a plan. walls (id, surface), openings (opening, to or null), adjacency (id, room, a row for each
+    end), regions (region, surface), flags (flag, region, a row for each cited), scope (item, surface, region and flag, null where none is cited)."""
+    def dangling(check, rows, ident, ref, target, key):
+        cited = rows.where(F.col(ref).isNotNull()).select(F.lit(check).alias("check"), F.col(ident).cast("long").alias("id"), F.col(ref).cast("long").alias("missing")).distinct()
+        return cited.join(target.select(F.col(key).cast("long").alias("missing")), "missing", "left_anti").select("check", "id", "missing")
+
+    parts = [
+        dangling("wall on unknown surface", walls, "id", "surface", surfaces, "surface"),
+        dangling("opening to unknown room", openings, "opening", "to", rooms, "room"),
+        dangling("adjacency with unknown room", adjacency, "id", "room", rooms, "room"),
+        dangling("region on unknown surface", regions, "region", "surface", surfaces, "surface"),
+        dangling("flag on unknown region", flags, "flag", "region", regions, "region"),
+        dangling("scope on unknown surface", scope, "item", "surface", surfaces, "surface"),
+        dangling("scope on unknown region", scope, "item", "region", regions, "region"),
+        dangling("scope on unknown flag", scope, "item", "flag", flags, "flag"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measure import covered
+from . import order
 
 #: Tolerances in metres, shares, and the coverage band.
 OPENING_TOLERANCE, OPENING_RATE = 0.02, 0.85
@@ -31,9 +32,11 @@ def _share(flag):
 
 def calibration_table(items: DataFrame) -> DataFrame:
     """Per (tier, kind): n, coverage, median width, median error, and whether coverage is within the band."""
-    rows = items.groupBy("tier", "kind").agg(
-        F.count("*").alias("n"), _share(_hit()).alias("coverage"), F.median(F.col("hi") - F.col("lo")).alias("median_width"), F.median(_off()).alias("median_abs_err"))
-    return rows.withColumn("in_band", F.col("coverage").between(*BAND))
+    keys = ["tier", "kind"]
+    rows = items.groupBy(*keys).agg(F.count("*").alias("n"), _share(_hit()).alias("coverage"))
+    off = items.select(*keys, (F.col("hi") - F.col("lo")).alias("width"), _off().alias("err"))
+    both = rows.join(order.medians(off, "width", "median_width", *keys), keys).join(order.medians(off, "err", "median_abs_err", *keys), keys)
+    return both.withColumn("in_band", F.col("coverage").between(*BAND))
 
 
 def wall_tolerance():
@@ -45,8 +48,8 @@ def wall_tolerance():
 def wall_gate(items: DataFrame) -> DataFrame:
     """Per tier: all walls within tolerance, and coverage at least the band's lower end (its upper end doesn't count)."""
     walls = items.where("kind = 'wall_length'")
-    rows = walls.groupBy("tier").agg(
-        F.count("*").alias("n"), F.count_if(_off() <= wall_tolerance()).alias("within"), _share(_hit()).alias("coverage"), F.median(_off()).alias("median_abs_err"))
+    rows = walls.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(_off() <= wall_tolerance()).alias("within"), _share(_hit()).alias("coverage"))
+    rows = rows.join(order.medians(walls.select("tier", _off().alias("err")), "err", "median_abs_err", "tier"), "tier")
     share = F.col("within") / F.col("n")
     return rows.withColumn("passed", (F.col("within") == F.col("n")) & (F.col("coverage") >= BAND[0])).withColumn("score", F.least(share, F.col("coverage") / BAND[0], F.lit(1.0)))
 
@@ -89,9 +92,10 @@ def repeatability(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def upper_median(items: DataFrame, key: str, value: str) -> DataFrame:
     """The element in place n div 2 (from 0) of each key, which for even n is the upper middle one."""
-    n = F.count("*").over(Window.partitionBy(key))
-    k = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    return items.select(key, value, n.alias("n"), k.alias("k")).where("k = n div 2 + 1").select(key, F.col(value).alias("upper_median"), "n")
+    values = order.counted(items, value, key)
+    n = values.groupBy(key).agg(F.sum("_c").alias("n"))
+    found = order.picked(values, value, n.select(key, F.expr("n div 2 + 1").alias("rank")), key)
+    return found.select(key, F.col(value).alias("upper_median")).join(n, key)
 
 
 def head_to_head(app: DataFrame, truth: DataFrame, ours: DataFrame) -> DataFrame:

@@ -12,10 +12,16 @@ def cell(x: Column, size: float) -> Column:
 
 
 def voxel_fuse(points: DataFrame, size: float, *keys: str) -> DataFrame:
-    """Mean position, count and first frame (by seq) of each voxel; partial sums are made before the shuffle."""
+    """Mean position, count and first frame (by seq) of each voxel, and the direction of the sum of its normals (nx, ny, nz), if points have
+    any; partial sums are made before the shuffle."""
     ix = [cell(F.col(c), size).alias(f"i{c}") for c in "xyz"]
-    return points.groupBy(*keys, *ix).agg(
-        *[F.avg(c).alias(c) for c in "xyz"], F.count("*").alias("n"), F.min(F.struct("seq", "frame")).getField("frame").alias("first_frame"))
+    normals = [c for c in ("nx", "ny", "nz") if c in points.columns]
+    fused = points.groupBy(*keys, *ix).agg(
+        *[F.avg(c).alias(c) for c in "xyz"], *[F.sum(c).alias(c) for c in normals], F.count("*").alias("n"), F.min_by("frame", "seq").alias("first_frame"))
+    if not normals:
+        return fused
+    length = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in normals[1:]), F.col("nx") * F.col("nx"))), F.lit(1e-12))
+    return fused.withColumn("_l", length).withColumns({c: F.col(c) / F.col("_l") for c in normals}).drop("_l")
 
 
 def grid_count(points: DataFrame, size: float, weight: Column, *keys: str) -> DataFrame:
@@ -68,7 +74,8 @@ def peaks(hist: DataFrame, bins: int, *keys: str) -> DataFrame:
 
 
 def level(points: DataFrame, band: float, *keys: str) -> DataFrame:
-    """Median height, spread (MAD x 1.4826) and distinct 10 cm cells of the points near the median of their group."""
+    """Median height, spread (MAD x 1.4826) and distinct 10 cm cells of the points near the median of their group. A group is a scene, which is
+    bounded, so its values are held to find the medians; groups that aren't have `order.medians`."""
     mid = points.groupBy(*keys).agg(F.median("y").alias("m"))
     near = points.join(mid, list(keys)).where(F.abs(F.col("y") - F.col("m")) <= band)
     centre = near.groupBy(*keys).agg(F.median("y").alias("height"), F.count_distinct(cell(F.col("x"), 0.1), cell(F.col("z"), 0.1)).alias("cells"))
@@ -82,11 +89,30 @@ def entropy(hist: DataFrame, *keys: str) -> DataFrame:
     return hist.withColumn("p", p).groupBy(*keys).agg(F.sum(-F.col("p") * F.log("p")).alias("entropy"))
 
 
+#: Bins of a quarter turn, reach and width (in bins) of their smoothing, and how far (in degrees) from the peak a direction may count.
+YAW_BINS, YAW_REACH, YAW_WIDTH, YAW_GATE = 180, 6, 2.0, 8.0
+
+
 def dominant_yaw(normals: DataFrame, *keys: str) -> DataFrame:
-    """Direction that right angles agree on: the fourth harmonic's mean, and its strength."""
+    """Direction that right angles agree on (theta, w), and how strongly all do.
+
+    Directions are folded by quarter turns into bins, whose weights are smoothed around the circle; those near the fullest bin are averaged
+    by the fourth harmonic. The strength is the harmonic's length over all directions.
+    """
+    quarter = 1.5707963267948966
+    folded = F.pmod(F.col("theta"), F.lit(quarter))
+    rows = normals.withColumn("_f", folded).withColumn("_b", F.least(F.floor(F.round(F.col("_f") / quarter * YAW_BINS, 9)), F.lit(YAW_BINS - 1)).cast("int"))
+    hist = rows.groupBy(*keys, "_b").agg(F.sum("w").alias("_w"))
+    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.exp(F.lit(-0.5 * (d / YAW_WIDTH) ** 2)).alias("t")) for d in range(-YAW_REACH, YAW_REACH + 1)])
+    spread = hist.withColumn("_t", F.explode(taps)).groupBy(*keys, F.pmod(F.col("_b") + F.col("_t.d"), F.lit(YAW_BINS)).alias("_b")).agg(F.round(F.sum(F.col("_w") * F.col("_t.t")), 6).alias("_s"))
+    peak = spread.groupBy(*keys).agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col("_b").alias("b"))).alias("_p")).select(*keys, ((F.col("_p.b") + 0.5) * quarter / YAW_BINS).alias("_at"))
+    off = F.abs(F.pmod(F.col("_f") - F.col("_at") + quarter / 2, F.lit(quarter)) - quarter / 2)
+    near = F.round(off, 9) < F.radians(F.lit(YAW_GATE))
     four = 4 * F.col("theta")
-    s, c = F.sum(F.col("w") * F.sin(four)), F.sum(F.col("w") * F.cos(four))
-    return normals.groupBy(*keys).agg((F.atan2(s, c) / 4).alias("yaw"), (F.sqrt(s * s + c * c) / F.sum("w")).alias("strength"))
+    s, c = F.col("w") * F.sin(four), F.col("w") * F.cos(four)
+    sums = rows.join(peak, list(keys)).groupBy(*keys).agg(F.sum(F.when(near, s)).alias("_s"), F.sum(F.when(near, c)).alias("_c"), F.sum(s).alias("_as"), F.sum(c).alias("_ac"), F.sum("w").alias("_w"))
+    strength = F.sqrt(F.col("_as") * F.col("_as") + F.col("_ac") * F.col("_ac")) / F.greatest("_w", F.lit(1e-9))
+    return sums.select(*keys, (F.atan2("_s", "_c") / 4).alias("yaw"), strength.alias("strength"))
 
 
 def boundary_lengths(cells: DataFrame, size: float) -> DataFrame:

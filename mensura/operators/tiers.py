@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+
 #: Fixed value: the field of view, in degrees across, that depth models are trained for.
 TRAIN_VIEW = 60.0
 
@@ -218,27 +220,13 @@ def nearest_extent(items: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return both.select(*items.columns, side.alias("app_value"))
 
 
-def quarter_turned(facing: Column, turns: int) -> Column:
-    """A facing after quarter turns counter-clockwise."""
-    ring = [0, 2, 1, 3]
-    out = facing
-    for f in range(4):
-        out = F.when(facing == f, ring[(ring.index(f) + turns) % 4]).otherwise(out)
-    return out.cast("int")
-
-
 def rows_of_equations(observations: DataFrame, turns: DataFrame) -> DataFrame:
     """(room, photo, wall, axis, off, weight): what each observed layer (photo, facing, offset, weight) says of a wall, in the room's directions: the
     photo's place along the axis, plus the offset by the photo's scale, is the wall's. turns: photo, turns."""
     both = observations.join(turns, ["room", "photo"])
-    wall, sign = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for t in range(4):
-        at = F.col("turns") % 4 == t
-        wall = F.when(at, quarter_turned(F.col("facing"), t)).otherwise(wall)
-        # a quarter turn takes x to y and y to -x
-        flip = {0: F.lit(1.0), 1: F.when(F.col("facing") < 2, 1.0).otherwise(-1.0), 2: F.lit(-1.0), 3: F.when(F.col("facing") < 2, -1.0).otherwise(1.0)}[t]
-        sign = F.when(at, flip).otherwise(sign)
+    # a quarter turn takes x to y, and y to -x
+    turns_, along_x = F.col("turns") % 4, F.col("facing") < 2
+    sign = F.when(turns_ == 0, 1.0).when(turns_ == 2, -1.0).when(turns_ == 1, F.when(along_x, 1.0).otherwise(-1.0)).otherwise(F.when(along_x, -1.0).otherwise(1.0))
+    wall = geometry.turned_facing(F.col("facing"), F.col("turns")).cast("int")
     axis = F.when(F.col("wall") < 2, 0).otherwise(1)
     return both.withColumn("wall", wall).select("room", "photo", "wall", axis.alias("axis"), (F.col("offset") * sign).alias("off"), "weight")
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import assembly, damage, depth, tiers
+from ..operators import assembly, damage, depth, outlines, registration, tiers
 from .adapters import edges, frame_poses, items, openings, pixels, plans, points, poses, rays, read, regions, rooms, stains, with_views
 
 QUERIES: dict = {}
@@ -422,9 +422,15 @@ def room_levels(spark, d):
     return _rounded(tiers.room_levels(points(spark, d).where("frame < 12").select("scene", "y"), "scene"), "main", "share", "other")
 
 
-@query()
+@query("""SELECT * FROM (WITH p AS MATERIALIZED (SELECT scene, CAST(frame % 4 AS INT) AS facing, floor(x * x * 50) / 100 + 0.001::DOUBLE * (frame % 3) AS place, y AS h FROM v_points),
+ s AS (SELECT scene, facing, min(place) AS lo, max(place) AS hi FROM p GROUP BY ALL HAVING count(*) >= 40 AND max(place) > min(place)),
+ n AS (SELECT scene, facing, CAST(least(floor(round((place - lo) / ((hi - lo) / 60), 9)), 59) AS INT) AS bin, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n FROM p JOIN s USING (scene, facing) GROUP BY 1, 2, 3),
+ k AS (SELECT a.scene, a.facing, a.bin, a.lo + (a.bin + 0.5::DOUBLE) * (a.hi - a.lo) / 60 AS centre FROM n a LEFT JOIN n b ON b.scene = a.scene AND b.facing = a.facing AND b.bin = a.bin - 1 LEFT JOIN n c ON c.scene = a.scene AND c.facing = a.facing AND c.bin = a.bin + 1
+  JOIN (SELECT scene, facing, max(n) AS most FROM n GROUP BY ALL) m ON m.scene = a.scene AND m.facing = a.facing WHERE a.n >= 0.3 * most AND a.n >= coalesce(b.n, 0) AND a.n >= coalesce(c.n, 0)),
+ l AS (SELECT k.scene, k.facing, k.bin, count(*) AS n, quantile_cont(h, 0.95) - quantile_cont(h, 0.05) AS tall, median(place) AS o FROM k JOIN p ON p.scene = k.scene AND p.facing = k.facing WHERE round(abs(place - centre) - 0.12::DOUBLE * greatest(abs(centre), 0.5), 9) < 0 GROUP BY ALL)
+ SELECT scene, facing, round(o, 6) AS "offset", round(n / (greatest(abs(o), 0.3::DOUBLE) * greatest(abs(o), 0.3::DOUBLE)), 6) AS support FROM (SELECT *, row_number() OVER (PARTITION BY scene, facing ORDER BY round(n * tall, 6) DESC, bin DESC) AS r FROM l WHERE n >= 20) WHERE r = 1)""", "v_points")
 def wall_layers(spark, d):
-    p = points(spark, d).selectExpr("scene", "frame % 4 AS facing", "round(x * x / 2, 2) + 0.001D * (frame % 3) AS at", "y AS h")
+    p = points(spark, d).selectExpr("scene", "CAST(frame % 4 AS INT) AS facing", "floor(x * x * 50) / 100 + 0.001D * (frame % 3) AS at", "y AS h")
     return _rounded(tiers.wall_layers(p, "scene", "facing"), "offset", "support")
 
 
@@ -476,3 +482,35 @@ _LOOK = "SELECT site AS room, room AS photo, CAST(size % 4 AS INT) AS facing, CA
 def wall_equations(spark, d):
     p = plans(spark, d).selectExpr("site AS room", "room AS photo", "CAST(size % 4 AS INT) AS facing", "CAST(part % 50 AS DOUBLE) / 10 - 2 AS offset", "CAST(size AS DOUBLE) AS weight", "CAST((part + site) % 4 AS INT) AS turns")
     return tiers.rows_of_equations(p.drop("turns"), p.select("room", "photo", "turns"))
+
+
+@query()
+def structural_registration(spark, d):
+    p = plans(spark, d).selectExpr("site AS room", "room AS photo", "CAST(size % 4 AS INT) AS facing", "CAST(part % 50 AS DOUBLE) / 10 + 1 AS offset", "CAST(size AS DOUBLE) AS weight", "CAST((part + site) % 4 AS INT) AS turns")
+    both = p.unionByName(p.selectExpr("room", "photo", "(facing + 2) % 4 AS facing", "offset * 0.8D AS offset", "weight", "turns"))
+    return registration.structures(tiers.rows_of_equations(both.drop("turns"), p.select("room", "photo", "turns")))
+
+
+_LINK = """SELECT CAST(o_custkey AS INT) AS walk, o_orderkey % 7 AS a, o_orderkey % 7 + 1 + o_orderkey % 3 AS b, CAST(o_orderkey % 11 AS DOUBLE) / 10 AS x, CAST(o_orderkey % 13 AS DOUBLE) / 10 AS z, CAST(o_orderkey % 6 AS DOUBLE) / 4 AS yaw,
+ 1 + CAST(o_orderkey % 5 AS DOUBLE) / 20 AS scale, CAST(o_orderkey AS DOUBLE) AS weight FROM orders"""
+
+
+@query()
+def spanning_poses(spark, d):
+    links = read(spark, d, "orders").selectExpr("CAST(o_custkey AS INT) AS walk", "o_orderkey % 7 AS a", "o_orderkey % 7 + 1 + o_orderkey % 3 AS b", "CAST(o_orderkey % 11 AS DOUBLE) / 10 AS x",
+                                               "CAST(o_orderkey % 13 AS DOUBLE) / 10 AS z", "CAST(o_orderkey % 6 AS DOUBLE) / 4 AS yaw", "1 + CAST(o_orderkey % 5 AS DOUBLE) / 20 AS scale", "CAST(o_orderkey AS DOUBLE) AS weight")
+    return registration.spanning_poses(links, "walk")
+
+
+@query(f"""SELECT * FROM (WITH RECURSIVE l AS MATERIALIZED (SELECT walk, a, b FROM ({_LINK}) UNION SELECT walk, b, a FROM ({_LINK})), r AS (SELECT walk, least(min(a), min(b)) AS node FROM l GROUP BY walk UNION SELECT l.walk, l.b FROM r JOIN l ON l.walk = r.walk AND l.a = r.node)
+ SELECT walk, node FROM r)""")
+def spanning_nodes(spark, d):
+    return spanning_poses(spark, d).select("walk", "node")
+
+
+@query()
+def room_outlines(spark, d):
+    p = points(spark, d)
+    cell = lambda c: F.floor(F.round(F.col(c) / 0.1, 9))
+    lines = edges(spark, d).select("scene", "axis", F.col("inward").alias("sign"), "off", "lo", "hi")
+    return outlines.room_outlines(p.select("scene", cell("x").alias("ix"), cell("y").alias("iz")).distinct(), lines, 0.1)

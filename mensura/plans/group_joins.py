@@ -63,9 +63,9 @@ def _cloud(spark, d, part):
     return _one(spark, d).where(F.col("id") % 2 == part)
 
 
-@query(f"SELECT scene, id, rid, round(sqrt(d2), 6) AS distance, CAST(k AS INT) AS k FROM ({_NN.format(0.2)}) WHERE k <= 4", "v_points")
+@query(f"SELECT scene, id, rid, sqrt(d2) AS distance, CAST(k AS INT) AS k FROM ({_NN.format(0.2)}) WHERE k <= 4", "v_points")
 def knn_voxel_bucket(spark, d):
-    return _rounded(joins.nearest_points(_cloud(spark, d, 0), _cloud(spark, d, 1), 0.2, 4, "scene"), "distance")
+    return joins.nearest_points(_cloud(spark, d, 0), _cloud(spark, d, 1), 0.2, 4, "scene")
 
 
 _HALF = f"SELECT scene, seq, {{x}} AS x, y, z FROM ({_ONE}) WHERE {{where}}"
@@ -161,19 +161,24 @@ def loop_candidates_topk(spark, d):
     return joins.loop_candidates(poses(spark, d).select("capture", part.alias("part"), "t", "x", "z"), 3, 8.0, 0.5)
 
 
-_UNIT = "SELECT id, label, list_transform(v, lambda x: x::DOUBLE / n) AS v FROM (SELECT id, label, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM v_vectors)"
+#: Frames are in sequences of two hundred, in which alone they are compared.
+_UNIT = "SELECT id, label, list_transform(v, lambda x: x::DOUBLE / n) AS v FROM (SELECT id, CAST(id // 200 AS INT) AS label, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM v_vectors)"
+
+
+def _sequences(spark, d):
+    return joins.unit(vectors(spark, d)).withColumn("label", F.expr("CAST(id div 200 AS INT)"))
 
 
 @query(f"""SELECT label, a, b, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS k FROM (SELECT *, quantile_cont(similarity, 0.97) OVER (PARTITION BY label) AS cut FROM (SELECT p.label, p.id AS a, q.id AS b, round(list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])), 9) AS similarity
  FROM ({_UNIT}) p JOIN ({_UNIT}) q ON p.label = q.label AND q.id - p.id >= 8)) WHERE similarity >= cut) WHERE k <= 3 ORDER BY similarity DESC, a, b LIMIT 600""", "v_vectors")
 def revisit_pairs_topk(spark, d):
-    return _rounded(joins.revisits(joins.unit(vectors(spark, d)), 8, 0.97, 3, 600), "similarity")
+    return _rounded(joins.revisits(_sequences(spark, d), 8, 0.97, 3, 600), "similarity")
 
 
 @query(f"""SELECT a, max(b) FILTER (k = 1) AS b, round(max(d) FILTER (k = 1), 6) AS d1, round(max(d) FILTER (k = 2), 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM (SELECT p.id AS a, q.id AS b, round(sqrt(greatest(2 - 2 * list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])), 0)), 9) AS d
  FROM ({_UNIT}) p JOIN ({_UNIT}) q ON p.label = q.label AND p.id % 2 = 0 AND q.id % 2 = 1)) WHERE k <= 2 GROUP BY a HAVING max(d) FILTER (k = 1) < 0.95 * max(d) FILTER (k = 2)""", "v_vectors")
 def ratio_test_2nn(spark, d):
-    v = joins.unit(vectors(spark, d))
+    v = _sequences(spark, d)
     return _rounded(joins.ratio_matches(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.95), "d1", "d2")
 
 

@@ -75,6 +75,39 @@ def integrity_anti_joins(spark, d):
     return rules.integrity_errors(regions(spark, d), rooms(spark, d).where("room <> 7"), openings(spark, d), _fired(spark, d))
 
 
+_KNOWN = "SELECT room FROM v_rooms WHERE room % 17 <> 0"
+_SURFACES = f"SELECT room * 10 + face AS surface FROM ({_KNOWN}), (SELECT unnest(range(6)) AS face) WHERE (room + face) % 23 <> 0"
+_CITED = "SELECT region AS flag, region + CASE WHEN region % 50 = 0 THEN 1000000000 ELSE 0 END AS region FROM v_regions WHERE region % 3 = 0"
+_ITEM = "SELECT region AS item, room * 10 + face AS surface, CASE WHEN region % 4 > 0 THEN region + CASE WHEN region % 40 = 1 THEN 1000000000 ELSE 0 END END AS region, CASE WHEN region % 2 = 0 THEN region END AS flag FROM v_regions"
+
+
+def _dangling(check: str, rows: str, ident: str, ref: str, target: str) -> str:
+    return f"SELECT DISTINCT '{check}' AS \"check\", CAST({ident} AS BIGINT) AS id, CAST({ref} AS BIGINT) AS missing FROM ({rows}) WHERE {ref} NOT IN (SELECT * FROM ({target}))"
+
+
+@query(" UNION ALL ".join([
+    _dangling("wall on unknown surface", "SELECT id, room * 10 + facing AS surface FROM v_edges", "id", "surface", _SURFACES),
+    _dangling("opening to unknown room", "SELECT opening, CASE WHEN opening % 5 > 0 THEN opening END AS t FROM v_openings", "opening", "t", _KNOWN),
+    _dangling("adjacency with unknown room", "SELECT room AS id, unnest([room, room + 1]) AS end_room FROM v_openings", "id", "end_room", _KNOWN),
+    _dangling("region on unknown surface", "SELECT region, room * 10 + face AS surface FROM v_regions", "region", "surface", _SURFACES),
+    _dangling("flag on unknown region", _CITED, "flag", "region", "SELECT region FROM v_regions"),
+    _dangling("scope on unknown surface", _ITEM, "item", "surface", _SURFACES),
+    _dangling("scope on unknown region", _ITEM, "item", "region", "SELECT region FROM v_regions"),
+    _dangling("scope on unknown flag", _ITEM, "item", "flag", f"SELECT flag FROM ({_CITED})")]), *_PLAN, "v_edges")
+def semantic_errors(spark, d):
+    c, far = F.col, 1_000_000_000
+    known = rooms(spark, d).where("room % 17 <> 0").select("room")
+    faces = F.explode(F.sequence(F.lit(0), F.lit(5)))
+    surfaces = known.withColumn("face", faces).where("(room + face) % 23 <> 0").select((c("room") * 10 + c("face")).alias("surface"))
+    r, o = regions(spark, d).withColumn("surface", c("room") * 10 + c("face")), openings(spark, d)
+    flags = r.where("region % 3 = 0").select(c("region").alias("flag"), (c("region") + F.when(c("region") % 50 == 0, far).otherwise(0)).alias("region"))
+    cited = F.when(c("region") % 4 > 0, c("region") + F.when(c("region") % 40 == 1, far).otherwise(0))
+    scope_of = r.select(c("region").alias("item"), "surface", cited.alias("region"), F.when(c("region") % 2 == 0, c("region")).alias("flag"))
+    walls = edges(spark, d).select("id", (c("room") * 10 + c("facing")).alias("surface"))
+    beside = o.select(c("room").alias("id"), F.explode(F.array(c("room"), c("room") + 1)).alias("room"))
+    return rules.semantic_errors(known, surfaces, walls, o.select("opening", F.when(c("opening") % 5 > 0, c("opening")).alias("to")), beside, r.select("region", "surface"), flags, scope_of)
+
+
 @query(f"SELECT 'F' || row_number() OVER (ORDER BY region, rule) AS flag, region, rule FROM ({_FIRED})", *_PLAN)
 def flag_numbers(spark, d):
     return rules.flagged(_fired(spark, d)).select("flag", "region", "rule")
@@ -162,6 +195,13 @@ def softmax_class_probs(spark, d):
     return _rounded(models.class_probabilities(v, v.where("id < 30").withColumnRenamed("label", "class")), "p")
 
 
+@query(f"""SELECT id, class, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 6) DESC, class) AS k FROM (SELECT id, class, sum(e / whole) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY id) AS whole FROM (SELECT *, exp(s - max(s) OVER (PARTITION BY id)) AS e
+ FROM (SELECT i.id, p.label AS class, round(100 * list_sum(list_transform(list_zip(i.v, p.v), lambda z: z[1] * z[2])), 6) AS s FROM ({_U}) i, ({_U}) p WHERE p.id < 30))) GROUP BY ALL)) WHERE k = 1""", "v_vectors")
+def best_class_per_image(spark, d):
+    v = joins.unit(vectors(spark, d))
+    return _rounded(models.best_class(models.class_probabilities(v, v.where("id < 30").withColumnRenamed("label", "class"))), "p")
+
+
 _PIX = "SELECT l_suppkey AS surface, CAST(l_partkey % 4 AS INT) AS r, CAST(l_linenumber % 3 AS INT) AS c, l_orderkey * 8 + l_linenumber AS view, l_discount AS score, l_quantity AS l FROM lineitem"
 
 
@@ -211,6 +251,11 @@ def relabel_ids(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.relabelled(doc, "R1", F.concat(F.lit("R"), F.col("p_size").cast("string"))).alias("document"))
 
 
+@query(r"SELECT page_id, trim(regexp_replace(html, '[ \t\n\f\r\x0b]+', ' ', 'g')) AS plain FROM pages")
+def collapsed_space(spark, d):
+    return read(spark, d, "pages").select("page_id", text.collapsed(F.col("html")).alias("plain"))
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
 def json_props_extract(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
@@ -234,7 +279,21 @@ def stage_map_aggregate(spark, d):
 # ---- kernels -----------------------------------------------------------------------------------
 
 
-@query()
+def _huber_sql(rounds: int = 10) -> str:
+    """The iteration written out, a step a view; each step stops changing once it has moved by less than 1e-7."""
+    steps = ["h0 AS (SELECT scene, median(y) AS loc, false AS done FROM v_points GROUP BY scene)",
+             "sc AS (SELECT scene, 2.5::DOUBLE * (1.4826::DOUBLE * median(abs(y - loc)) + 1e-6) AS scale FROM v_points JOIN h0 USING (scene) GROUP BY scene)"]
+    for k in range(rounds):
+        w = "least(1, scale / greatest(abs(y - loc), 1e-9 * scale))"
+        new = f"SELECT scene, any_value(loc) AS last, any_value(done) AS done, sum({w} * y) / sum({w}) AS new FROM v_points JOIN h{k} USING (scene) JOIN sc USING (scene) GROUP BY scene"
+        steps.append(f"h{k + 1} AS MATERIALIZED (SELECT scene, CASE WHEN done THEN last ELSE new END AS loc, done OR abs(new - last) < 1e-7 AS done FROM ({new}))")
+    end = f"h{rounds}"
+    return f"""WITH {', '.join(steps)}, sp AS (SELECT scene, 1.4826::DOUBLE * median(abs(y - loc)) + 1e-6 AS spread, count(*) AS n FROM v_points JOIN {end} USING (scene) GROUP BY scene),
+ g AS (SELECT scene, frame, avg(y) AS m FROM v_points GROUP BY ALL), gs AS (SELECT scene, 1.4826::DOUBLE * median(abs(m - mm)) + 1e-6 AS gspread, count(*) AS groups FROM g JOIN (SELECT scene, median(m) AS mm FROM g GROUP BY scene) USING (scene) GROUP BY scene)
+ SELECT scene, round(loc, 6) AS location, round(CASE WHEN groups >= 3 THEN greatest(gspread / sqrt(groups), spread / sqrt(n)) ELSE spread / sqrt(groups) END, 6) AS error, round(spread, 6) AS spread, n FROM {end} JOIN sp USING (scene) JOIN gs USING (scene)"""
+
+
+@query("SELECT * FROM (" + _huber_sql() + ")", "v_points")
 def huber_location(spark, d):
     return kernels.robust_location(points(spark, d), "scene", "y", "frame")
 
@@ -250,13 +309,20 @@ def segment_rooms(spark, d):
     return kernels.rooms_of(cells, 0.1)
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE b AS MATERIALIZED (SELECT scene, id, lo, hi, top AS strength, row_number() OVER (PARTITION BY scene ORDER BY top DESC, id) AS k FROM v_edges),
+ s AS (SELECT DISTINCT scene, 0::BIGINT AS k, []::BIGINT[] AS kept FROM b UNION ALL SELECT s.scene, b.k, CASE WHEN count(o.id) = 0 THEN list_append(any_value(s.kept), any_value(b.id)) ELSE any_value(s.kept) END FROM s JOIN b ON b.scene = s.scene AND b.k = s.k + 1
+  LEFT JOIN b o ON o.scene = s.scene AND list_contains(s.kept, o.id) AND least(o.hi, b.hi) - greatest(o.lo, b.lo) >= 0.5 * least(b.hi - b.lo, o.hi - o.lo) GROUP BY s.scene, b.k)
+ SELECT b.scene, id, lo, hi, strength FROM b JOIN (SELECT scene, arg_max(kept, k) AS kept FROM s GROUP BY scene) USING (scene) WHERE list_contains(kept, id))""", "v_edges")
 def opening_suppression(spark, d):
     e = edges(spark, d).select("scene", "id", "lo", "hi", F.col("top").alias("strength"))
     return kernels.suppressed(e, "scene")
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE b AS MATERIALIZED (SELECT scene, id, off, hi - lo AS weight, row_number() OVER (PARTITION BY scene ORDER BY off, id) AS k FROM v_edges),
+ s AS (SELECT DISTINCT scene, 0::BIGINT AS k, NULL::BIGINT AS id, -1 AS cluster, 0::DOUBLE AS mean, 0::DOUBLE AS total FROM b UNION ALL SELECT scene, k, id, CASE WHEN fresh THEN cluster + 1 ELSE cluster END,
+  CASE WHEN fresh THEN off ELSE mean + (off - mean) * weight / (total + weight) END, CASE WHEN fresh THEN weight ELSE total + weight END FROM (
+   SELECT s.scene, b.k, b.id, s.cluster, s.mean, s.total, b.off, b.weight, s.cluster < 0 OR b.off - s.mean > 0.04 AS fresh FROM s JOIN b ON b.scene = s.scene AND b.k = s.k + 1))
+ SELECT scene, id, CAST(cluster AS INT) AS cluster FROM s WHERE k > 0)""", "v_edges")
 def segment_clusters(spark, d):
     e = edges(spark, d).select("scene", "id", "off", (F.col("hi") - F.col("lo")).alias("weight"))
     return kernels.wall_clusters(e, "scene", 0.04)

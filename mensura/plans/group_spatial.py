@@ -34,9 +34,15 @@ def _cell(x: str, size: float) -> str:
     return f"CAST(floor(round({x} / {size}::DOUBLE, 9)) AS BIGINT)"
 
 
-@query(f"""SELECT scene, {_cell('x', 0.5)} AS ix, {_cell('y', 0.5)} AS iy, {_cell('z', 0.5)} AS iz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM v_points GROUP BY scene, 2, 3, 4""", "v_points")
+_NORMALS = "CAST(frame % 5 AS DOUBLE) - 2 AS nx, CAST(seq % 7 AS DOUBLE) - 3 AS ny, CAST(frame % 3 AS DOUBLE) AS nz"
+
+
+@query(f"""SELECT scene, ix, iy, iz, x, y, z, n, round(nx / l, 6) + 0 AS nx, round(ny / l, 6) + 0 AS ny, round(nz / l, 6) + 0 AS nz FROM (SELECT *, greatest(sqrt(nx * nx + ny * ny + nz * nz), 1e-12) AS l FROM (
+ SELECT scene, {_cell('x', 0.5)} AS ix, {_cell('y', 0.5)} AS iy, {_cell('z', 0.5)} AS iz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT *, {_NORMALS} FROM v_points) GROUP BY scene, 2, 3, 4))""", "v_points")
 def voxel_fuse(spark, d):
-    return _rounded(spatial.voxel_fuse(points(spark, d), 0.5, "scene").drop("first_frame"), "x", "y", "z")
+    p = points(spark, d).selectExpr("*", *_NORMALS.split(", "))
+    fused = _rounded(spatial.voxel_fuse(p, 0.5, "scene").drop("first_frame"), "x", "y", "z", "nx", "ny", "nz")
+    return fused.withColumns({c: F.col(c) + 0 for c in ("nx", "ny", "nz")})
 
 
 @query(f"SELECT scene, {_cell('x', 0.5)} AS ix, {_cell('y', 0.5)} AS iy, {_cell('z', 0.5)} AS iz, CAST(min(seq) // 8 % 64 AS INT) AS first_frame FROM v_points GROUP BY scene, 2, 3, 4", "v_points")
@@ -92,7 +98,14 @@ def map_entropy(spark, d):
     return _rounded(spatial.entropy(_hist(spark, d), "scene"), "entropy")
 
 
-@query("""SELECT scene, round(atan2(s, c) / 4, 5) AS yaw, round(sqrt(s * s + c * c) / w, 5) AS strength FROM (SELECT scene, sum(x * sin(4 * (y / 2))) AS s, sum(x * cos(4 * (y / 2))) AS c, sum(x) AS w FROM v_points GROUP BY scene)""", "v_points")
+_FOLD = "SELECT scene, theta, w, theta - (pi() / 2) * floor(theta / (pi() / 2)) AS f FROM (SELECT scene, y / 2 AS theta, x AS w FROM v_points)"
+
+
+@query(f"""SELECT * FROM (WITH r AS MATERIALIZED (SELECT *, CAST(least(floor(round(f / (pi() / 2) * 180, 9)), 179) AS INT) AS b FROM ({_FOLD})), h AS (SELECT scene, b, sum(w) AS w FROM r GROUP BY ALL),
+ s AS (SELECT h.scene, ((h.b + d) % 180 + 180) % 180 AS b, round(sum(h.w * exp(-0.5 * (d / 2.0::DOUBLE) ** 2)), 6) AS s FROM h, (SELECT unnest(range(-6, 7)) AS d) GROUP BY ALL),
+ p AS (SELECT scene, (b + 0.5::DOUBLE) * (pi() / 2) / 180 AS peak FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY s DESC, b) AS k FROM s) WHERE k = 1),
+ n AS (SELECT r.*, round(abs(f - peak + pi() / 4 - (pi() / 2) * floor((f - peak + pi() / 4) / (pi() / 2)) - pi() / 4), 9) < radians(8) AS near FROM r JOIN p USING (scene))
+ SELECT scene, round(atan2(sum(w * sin(4 * theta)) FILTER (near), sum(w * cos(4 * theta)) FILTER (near)) / 4, 5) AS yaw, round(sqrt(sum(w * sin(4 * theta)) ** 2 + sum(w * cos(4 * theta)) ** 2) / greatest(sum(w), 1e-9), 5) AS strength FROM n GROUP BY scene)""", "v_points")
 def dominant_yaw(spark, d):
     out = spatial.dominant_yaw(points(spark, d).select("scene", (F.col("y") / 2).alias("theta"), F.col("x").alias("w")), "scene")
     return out.withColumns({n: F.round(n, 5) for n in ("yaw", "strength")})

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import kernels, spatial, windows
+from ..operators import kernels, outlines, spatial, windows
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,8 @@ def levels(points: DataFrame, up: bool, options: LayoutOptions) -> DataFrame:
 
 
 def layout(points: DataFrame, options: LayoutOptions | None = None) -> dict[str, DataFrame]:
-    """levels (scene, floor, ceiling, height), lines (scene, facing, line, first, last, ...) and rooms (scene, room, cells, area)."""
+    """levels (scene, floor, ceiling, height), lines (scene, facing, line, first, last, ...), rooms (scene, room, cells, area) and their
+    outlines (scene, room, seq, x, z, area)."""
     o = options or LayoutOptions()
     both = levels(points, True, o).join(levels(points, False, o), "scene").withColumn("height", F.col("ceiling") - F.col("floor"))
     h = points.join(both, "scene").withColumn("h", F.col("y") - F.col("floor"))
@@ -44,4 +45,7 @@ def layout(points: DataFrame, options: LayoutOptions | None = None) -> dict[str,
     along = F.when(F.col("facing") < 2, F.col("iz")).otherwise(F.col("ix"))
     lines = windows.islands(walls.where("facing >= 0").select("scene", "facing", across.alias("line"), along.alias("k")), 15, o.least_wall, 0.5, o.grid, "scene", "facing", "line")
     floor = h.where((F.col("ny") > 0.9) & (F.abs("h") < 0.04)).select("scene", spatial.cell(F.col("x"), o.grid).alias("ix"), spatial.cell(F.col("z"), o.grid).alias("iz")).distinct()
-    return {"levels": both, "lines": lines, "rooms": kernels.rooms_of(floor, o.grid)}
+    axis, sign = F.when(F.col("facing") < 2, 0).otherwise(1), F.when(F.col("facing") % 2 == 0, 1).otherwise(-1)
+    # a wall's points lie on its face: at the cell's lower or upper side, as it looks
+    face = lines.select("scene", axis.alias("axis"), sign.alias("sign"), (F.col("line") * o.grid).alias("off"), (F.col("first") * o.grid).alias("lo"), ((F.col("last") + 1) * o.grid).alias("hi"))
+    return {"levels": both, "lines": lines, "rooms": kernels.rooms_of(floor, o.grid), "outlines": outlines.room_outlines(floor, face, o.grid)}

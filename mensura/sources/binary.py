@@ -83,7 +83,7 @@ def ply(data: bytes) -> np.ndarray:
 
 
 def depth_frames(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
-    """(frame, r, c, depth) in metres of all 16-bit depth rasters below a path; zero, for missing, becomes null."""
+    """(capture, frame, r, c, depth) in metres of all 16-bit depth rasters below a path, whose folder lies in their capture's; zero, for missing, becomes null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,9 +92,10 @@ def depth_frames(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
                 grid = png(bytes(content))[::stride, ::stride]
                 r, c = np.indices(grid.shape)
                 metres = np.where(grid > 0, grid * 1e-3, np.nan).ravel()
-                yield pd.DataFrame({"frame": int(name.rsplit("/", 1)[-1].split(".")[0]), "r": r.ravel() * stride, "c": c.ravel() * stride, "depth": pd.array(metres).astype("Float64")})
+                folder = name.split("/")
+                yield pd.DataFrame({"capture": folder[-3] if len(folder) > 2 else None, "frame": int(folder[-1].split(".")[0]), "r": r.ravel() * stride, "c": c.ravel() * stride, "depth": pd.array(metres).astype("Float64")})
 
-    return files.mapInPandas(run, "frame int, r int, c int, depth double")
+    return files.mapInPandas(run, "capture string, frame int, r int, c int, depth double")
 
 
 def ply_points(spark: SparkSession, path: str) -> DataFrame:

@@ -30,11 +30,12 @@ def detect(files: DataFrame, root: str) -> DataFrame:
     return seen.select("capture", tier.alias("tier"))
 
 
-def nested_root(files: DataFrame) -> DataFrame:
-    """Folders that hold the one odometry file of their capture."""
-    hits = files.where(F.col("path").endswith("/odometry.csv")).withColumn("root", F.regexp_replace("path", "/odometry\\.csv$", ""))
-    capture = F.regexp_extract("root", "^(.*?)/[^/]*$", 1)
-    return hits.groupBy(capture.alias("capture")).agg(F.count("*").alias("n"), F.min("root").alias("root")).where("n = 1").select("capture", "root")
+def nested_root(files: DataFrame, root: str) -> DataFrame:
+    """(capture, root): where a capture's one odometry file lies, at the top of its folder or one folder below; captures with none or several go."""
+    base = root.rstrip("/") + "/"
+    hits = files.where(F.col("path").endswith("/odometry.csv")).withColumn("rest", F.split(F.element_at(F.split("path", F.lit(base)), -1), "/"))
+    near = hits.where(F.size("rest").between(2, 3)).withColumn("root", F.regexp_replace("path", "/odometry\\.csv$", ""))
+    return near.groupBy(F.col("rest")[0].alias("capture")).agg(F.count("*").alias("n"), F.min("root").alias("root")).where("n = 1").select("capture", "root")
 
 
 def odometry(spark: SparkSession, path: str, intrinsics: tuple[float, float, float, float]) -> DataFrame:
@@ -49,9 +50,16 @@ def odometry(spark: SparkSession, path: str, intrinsics: tuple[float, float, flo
 
 
 def with_presence(frames: DataFrame, files: DataFrame, kind: str) -> DataFrame:
-    """Whether a raster of this kind exists for each frame."""
-    have = files.where(F.col("path").contains(f"/{kind}/")).select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("int").alias("frame")).distinct().withColumn(f"has_{kind}", F.lit(True))
-    return frames.join(have, "frame", "left").fillna(False, [f"has_{kind}"])
+    """Whether a raster of this kind exists for each (capture, frame); a file's capture is the folder that holds the folder of its kind."""
+    parts = files.select(F.regexp_extract("path", rf"([^/]+)/{kind}/([0-9]+)\.png$", 1).alias("capture"), F.regexp_extract("path", rf"/{kind}/([0-9]+)\.png$", 1).alias("n"))
+    have = parts.where("n <> ''").select("capture", F.col("n").cast("int").alias("frame")).distinct().withColumn(f"has_{kind}", F.lit(True))
+    return frames.join(have, ["capture", "frame"], "left").fillna(False, [f"has_{kind}"])
+
+
+def missing_notes(frames: DataFrame, kind: str) -> DataFrame:
+    """(capture, note): how many frames of a capture lack a raster; none for whole captures."""
+    n = frames.groupBy("capture").agg(F.count_if(~F.col(f"has_{kind}")).alias("missing"), F.count("*").alias("n")).where("missing > 0")
+    return n.select("capture", F.format_string(f"%d of %d frames without {kind}", "missing", "n").alias("note"))
 
 
 def trajectory(spark: SparkSession, path: str) -> DataFrame:
@@ -115,13 +123,69 @@ def calibration(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(rows, "tier string, kind string, abs_mult double, log_mult double, abs_floor double, log_floor double"), spark.createDataFrame(fixes, "tier string, name string, value double")
 
 
-def photo_rooms(files: DataFrame) -> DataFrame:
-    """(room, path, place) of photo folders: names lose a leading number, photos are in order of name."""
+def photo_rooms(files: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """(room, path, place) of photo folders: names lose a leading number, photos are in order of their time (path, taken), if it is known, then name."""
     from ..functions.text import without_ordinal
 
     p = F.split("path", "/")
     f = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGES)).select("path", F.element_at(p, -2).alias("folder"), F.element_at(p, -1).alias("name"))
-    return f.select(without_ordinal(F.col("folder")).alias("room"), "path", F.row_number().over(Window.partitionBy("folder").orderBy("name")).alias("place"))
+    f = f.join(times.select("path", "taken"), "path", "left") if times is not None else f.withColumn("taken", F.lit(None).cast("timestamp_ntz"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy(F.col("taken").asc_nulls_last(), "name"))
+    return f.select(without_ordinal(F.col("folder")).alias("room"), "path", place.alias("place"))
+
+
+def unpacked(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """(path, content) of the files in all ZIP archives below a path, under target/archive/name; parts of a name that leave the folder are refused.
+
+    An archive is one row and is opened in one task; what comes out is written by the caller.
+    """
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    for item in z.infolist():
+                        if item.is_dir():
+                            continue
+                        if item.filename.startswith("/") or ".." in item.filename.split("/"):
+                            raise ValueError(f"{name}: {item.filename} leaves its folder")
+                        yield pd.DataFrame({"path": [f"{target.rstrip('/')}/{stem}/{item.filename}"], "content": [z.read(item)]})
+
+    return files.mapInPandas(run, "path string, content binary")
+
+
+def verified(files: DataFrame, digests: DataFrame) -> DataFrame:
+    """(path, ok): whether the SHA-256 of a file (path, content) is the one that is stated (path, sha256); ok is null for files that none is stated for."""
+    return files.select("path", F.sha2("content", 256).alias("found")).join(digests, "path", "left").select("path", (F.col("found") == F.lower("sha256")).alias("ok"))
+
+
+def app_dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """(room, dimension, app_value) of another app's CSV, in metres; rows without a number go."""
+    raw = spark.read.option("header", "true").csv(path)
+    clean = raw.toDF(*[c.strip().lower() for c in raw.columns])
+    value = F.expr("try_cast(trim(value) AS double)")
+    return clean.select(F.trim("room").alias("room"), F.trim("dimension").alias("dimension"), value.alias("app_value")).where("app_value is not null")
+
+
+def saved_plans(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Saved plans or metrics, a document a file, read by a stated schema; what it doesn't name is left out, broken documents are refused."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
+
+
+def rule_file(spark: SparkSession, document: dict) -> DataFrame:
+    """Rules of a parsed rule file as rows of `operators.rules.SCHEMA`; conditions that a rule doesn't set are null."""
+    from ..operators.rules import SCHEMA
+
+    kind = T._parse_datatype_string(SCHEMA)
+    rows = [tuple(list(v) if isinstance(v := r.get(f.name), tuple) else float(v) if isinstance(v, int) and f.dataType == T.DoubleType() else v for f in kind.fields) for r in document.get("rules") or []]
+    return spark.createDataFrame(rows, kind)
 
 
 def multimap(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -22,24 +22,25 @@ def sessions(frames: DataFrame, gap: str = "5 seconds", late: str = "10 seconds"
     return frames.withWatermark("ts", late).groupBy("capture", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("capture", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def keyframes(poses: DataFrame, distance: float = 0.04, angle: float = 4.0, seconds: float = 0.6) -> DataFrame:
-    """Keyframes by the last one kept, which is each capture's state; rows of a batch are taken in order of time."""
+def keyframes(poses: DataFrame, distance: float = 0.04, angle: float = 4.0, seconds: float = 0.6, fastest: float = 90.0) -> DataFrame:
+    """Keyframes by the last one kept and the pose before, which are each capture's state; rows of a batch are taken in order of time. Poses that turn
+    faster than `fastest` degrees a second are passed over."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
+        x, z, heading, t, last_heading, last_t = state.get if state.exists else (None,) * 6
         rows = pd.concat(list(batches)).sort_values(["t", "pose"])
+        turned = lambda a, b: abs((a - b + 180) % 360 - 180)
         kept = []
         for r in rows.itertuples():
-            if last is not None:
-                turn = abs((r.heading - last[2] + 180) % 360 - 180)
-                if np.hypot(r.x - last[0], r.z - last[1]) < distance and turn < angle and r.t - last[3] < seconds:
-                    continue
-            last = (float(r.x), float(r.z), float(r.heading), float(r.t))
-            kept.append((r.capture, r.pose, r.t))
-        if last is not None:
-            state.update(last)
+            slow = last_t is None or turned(r.heading, last_heading) / max(r.t - last_t, 1e-3) <= fastest
+            last_heading, last_t = float(r.heading), float(r.t)
+            if slow and (t is None or np.hypot(r.x - x, r.z - z) >= distance or turned(r.heading, heading) >= angle or r.t - t >= seconds):
+                x, z, heading, t = float(r.x), float(r.z), float(r.heading), float(r.t)
+                kept.append((r.capture, r.pose, r.t))
+        state.update((x, z, heading, t, last_heading, last_t))
         yield pd.DataFrame(kept, columns=["capture", "pose", "t"])
 
-    return poses.groupBy("capture").applyInPandasWithState(run, "capture long, pose long, t double", "x double, z double, heading double, t double", "append", GroupStateTimeout.NoTimeout)
+    held = "x double, z double, heading double, t double, last_heading double, last_t double"
+    return poses.groupBy("capture").applyInPandasWithState(run, "capture long, pose long, t double", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def running_voxels(points: DataFrame, size: float) -> DataFrame:

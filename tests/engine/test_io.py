@@ -25,11 +25,13 @@ def test_detect_and_presence(spark, tmp_path):
     files = src.listing(spark, str(tmp_path))
     got = {r.capture: r.tier for r in src.detect(files, f"file:{tmp_path}").collect()}
     assert got == {"a": "lidar", "b": "video", "c": "video", "d": "photo", "e": "error"}
-    frames = spark.createDataFrame([(1,), (2,)], "frame int")
-    assert {r.frame: r.has_depth for r in src.with_presence(frames, files, "depth").collect()} == {1: True, 2: False}
+    frames = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "capture string, frame int")
+    there = src.with_presence(frames, files, "depth")
+    assert {(r.capture, r.frame): r.has_depth for r in there.collect()} == {("a", 1): True, ("a", 2): False, ("b", 1): False}
+    assert {r.capture: r.note for r in src.missing_notes(there, "depth").collect()} == {"a": "1 of 2 frames without depth", "b": "1 of 1 frames without depth"}
     photos = src.photo_rooms(files.where("path like '%/d/%'")).collect()
     assert {(r.room, r.place) for r in photos} == {("Kitchen", 1), ("Kitchen", 2), ("hall", 1)}
-    assert src.nested_root(files.where("path like '%/b/%'")).count() == 1
+    assert src.nested_root(files, f"file:{tmp_path}").count() == 2
 
 
 def test_odometry(spark, tmp_path):
@@ -66,9 +68,11 @@ def test_png_and_ply(spark, tmp_path):
     for dtype in (np.uint8, np.uint16):
         grid = rng.integers(0, np.iinfo(dtype).max, (13, 9)).astype(dtype)
         assert np.array_equal(binary.png(binary.write_png(grid)), grid)
-    (tmp_path / "depth").mkdir()
-    (tmp_path / "depth/000007.png").write_bytes(binary.write_png(np.array([[0, 1500], [2500, 3]], np.uint16)))
-    got = {(r.r, r.c): r.depth for r in binary.depth_frames(spark, str(tmp_path)).collect()}
+    (tmp_path / "cap/depth").mkdir(parents=True)
+    (tmp_path / "cap/depth/000007.png").write_bytes(binary.write_png(np.array([[0, 1500], [2500, 3]], np.uint16)))
+    rows = binary.depth_frames(spark, str(tmp_path)).collect()
+    assert {r.capture for r in rows} == {"cap"}
+    got = {(r.r, r.c): r.depth for r in rows}
     assert got == {(0, 0): None, (0, 1): 1.5, (1, 0): 2.5, (1, 1): 0.003}
     head = b"ply\nformat binary_little_endian 1.0\nelement vertex 2\nproperty double x\nproperty double y\nproperty double z\nproperty uchar red\nend_header\n"
     (tmp_path / "a.ply").write_bytes(head + struct.pack("<dddB", 1, 2, 3, 4) + struct.pack("<dddB", 5, 6, 7, 8))
@@ -145,6 +149,8 @@ def test_layout_of_a_simulated_flat(spark):
     assert heights == {1: pytest.approx(2.55, abs=0.001), 2: pytest.approx(2.6, abs=0.001)}
     areas = {(r.scene, r.room): r.area for r in got["rooms"].collect()}
     assert areas == {(1, 1): pytest.approx(3.4 * 2.9, rel=0.01), (1, 2): pytest.approx(2.6 * 2.9, rel=0.01), (2, 1): pytest.approx(12.0, rel=0.01)}
+    shapes = {(r.scene, r.room): r.area for r in got["outlines"].where("seq = 0").collect()}
+    assert shapes == {k: pytest.approx(v, rel=0.03) for k, v in areas.items()} and got["outlines"].where("scene = 2").count() == 4
     lengths = sorted(r.length for r in got["lines"].where("scene = 2").collect())
     assert lengths == pytest.approx([3.0, 3.0, 4.0, 4.0], abs=0.06)
     assert layout(cloud.where("scene = 9"))["rooms"].count() == 0
