@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .kernels import dedupe_sorted, fill_holes, label, segment_rooms
 
@@ -121,5 +122,6 @@ def room_outlines(floor: DataFrame, lines: DataFrame, size: float) -> DataFrame:
             rows += [(*key, room, k, round(x + base[0], 6), round(y + base[1], 6), round(_area(p), 6)) for k, (x, y) in enumerate(p)]
         return pd.DataFrame(rows, columns=columns)
 
-    own = lines.select("scene", "axis", "sign", "off", "lo", "hi")
-    return floor.select("scene", "ix", "iz").groupBy("scene").cogroup(own.groupBy("scene")).applyInPandas(run, "scene int, room int, seq int, x double, z double, area double")
+    # an alias of their own for the keys: both tables may come from one
+    own = lines.select(F.col("scene").alias("scene"), "axis", "sign", "off", "lo", "hi")
+    return floor.select(F.col("scene").alias("scene"), "ix", "iz").groupBy("scene").cogroup(own.groupBy("scene")).applyInPandas(run, "scene int, room int, seq int, x double, z double, area double")
