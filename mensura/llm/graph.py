@@ -16,7 +16,7 @@ def _least(pairs: DataFrame, hot: list) -> DataFrame:
 
 def _large_star(edges: DataFrame, hot: list) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both, hot).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return _least(both, hot).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(down: DataFrame, hot: list) -> DataFrame:

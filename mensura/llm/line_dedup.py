@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, discard, hot_keys, likely, own_name, spread_join, written
 from .graph import components
 
 #: Characters (UTF-16 units) of a shingle; a shorter line is one shingle.
@@ -15,14 +17,15 @@ SIMILARITY = 0.8
 #: five minima that agree hold a whole band. Of pairs at the similarity 99 in 100 meet, of closer ones more.
 MINIMA = 9
 BANDS = tuple((a, b, c) for a in range(9) for b in range(a + 1, 9) for c in range(b + 1, 9) if all((p + q + r) % 3 == 0 for p, q, r in zip(*(divmod(i, 3) for i in (a, b, c)))))
-#: Words of the bit map by which lines that aren't candidates are passed over; a fixed size, whatever the corpus.
-MAP_WORDS = 1 << 18
+#: Shingles that are hashed in one row of the signatures' aggregate.
+STEP = 4
 #: Words of 64 bits in a line's odd sketch.
 SKETCH = 16
-#: Lines of a bucket that its others are compared with, before all that are left open are compared with each other.
-PIVOTS = 8
-#: Times that labels are spread over links before pairs are made.
-HOPS = 3
+#: Lines of a bucket up to which all that aren't known to be connected are compared by their sketches, so many for each line at most; in larger
+#: buckets those that share one of their rarest shingles are.
+SMALL = 2048
+#: Pivots that the lines of buckets of over PIVOTED open lines are compared with, before those that are left.
+PIVOTS, PIVOTED = 8, 64
 
 
 def _mask(i: int) -> int:
@@ -31,11 +34,31 @@ def _mask(i: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _hash(line):
+    return F.xxhash64(line)
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line, h) of all lines that aren't blank. Lines are compared trimmed and in lower case."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
     plain = split.select("id", "line_no", F.lower(F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c"))).alias("line"))
-    return plain.where("line <> ''").withColumn("h", F.xxhash64("line"))
+    return plain.where("line <> ''").withColumn("h", _hash(F.col("line")))
+
+
+def counted_lines(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, (h, n) of each h that n > 1 lines have): equal lines have one h, and by now no others share one.
+
+    A second, independent hash tells lines apart whose first one clashes; these take a new one, until none clash.
+    """
+    while True:
+        second = F.xxhash64(F.lit("second"), "line")
+        counts = found.groupBy("h").agg(F.count("*").alias("n"), F.min(second).alias("a"), F.max(second).alias("b"))
+        repeated = written(counts.where("n > 1"), "line-counts")
+        clashing = repeated.where("a <> b").select("h", F.lit(True).alias("clash"))
+        if clashing.isEmpty():
+            return found, repeated.select("h", "n")
+        parted = F.when(F.col("clash"), F.xxhash64("h", F.lit("parted"), second)).otherwise(F.col("h"))
+        found = written(found.join(clashing, "h", "left").select("id", "line_no", "line", parted.alias("h")), "lines")
 
 
 def _wide(line):
@@ -48,122 +71,209 @@ def _last(wide):
 
 def signatures(found: DataFrame) -> DataFrame:
     """(h, m0 .. m8) of each distinct line: the least hash of its shingles under each mask. No text is shuffled."""
-    wide = found.select("h", _wide(F.col("line")).alias("w"))
-    each = wide.select("h", "w", F.explode(F.sequence(F.lit(0), _last(F.col("w")))).alias("i"))
-    hashed = each.select("h", F.xxhash64(F.expr(f"substring(w, 2 * i + 1, {2 * CHARS})")).alias("s"))
-    return hashed.groupBy("h").agg(*_minima())
+    wide = found.select("h", _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
+    each = wide.select("h", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashed = each.select("h", *(F.xxhash64(F.expr(f"substring(w, 2 * least(i + {j}, last) + 1, {2 * CHARS})")).alias(f"s{j}") for j in range(STEP)))
+    return hashed.groupBy("h").agg(*(F.min(F.least(*(F.col(f"s{j}").bitwiseXOR(F.lit(_mask(k))) for j in range(STEP)))).alias(f"m{k}") for k in range(MINIMA)))
 
 
-def _band_keys():
-    return [F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)]
+def banded(signed: DataFrame) -> DataFrame:
+    """(h, key): a key for each band."""
+    keys = [F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)]
+    return signed.select("h", F.explode(F.array(*keys)).alias("key"))
 
 
-def _minima():
-    return [F.min(F.col("s").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(MINIMA)]
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, v) to compare first, (key, h) of the lines of larger buckets).
 
-
-def buckets(signed: DataFrame) -> DataFrame:
-    """(key, band, h, pivot, n) for lines that share a band with another: pivot is the least of the bucket's n lines."""
-    banded = signed.select("h", F.posexplode(F.array(*_band_keys())).alias("band", "key"))
-    w = Window.partitionBy("key")
-    return banded.select("key", "band", "h", F.min("h").over(w).alias("pivot"), F.count("*").over(w).alias("n")).where("n > 1")
+    Buckets are lines that share a band. What a bucket needs comes from aggregates with partial sums, never from a window or a list:
+    its size, its pivot, which is its least line, and its last one. The two lines of a bucket of two are a pair; each line of a larger
+    one makes a pair with the pivot.
+    """
+    keyed = banded(signed)
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1"), "line-buckets")
+    large = buckets.where("n > 2").select("key", "n", F.col("lo").alias("pivot"))
+    held = likely(keyed, large.select("key"), "key")
+    members = written(spread_join(held, large, ["key"], hot_keys(large, "key"), by=F.col("h")).select("key", "h", "pivot"), "line-members")
+    pairs = buckets.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    pairs = pairs.unionByName(members.where("pivot <> h").select(F.col("pivot").alias("u"), F.col("h").alias("v"))).distinct()
+    pairs = written(pairs, "line-pairs")
+    discard(buckets)
+    return pairs, members
 
 
 def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line) of the wanted lines (distinct h), each once. A bit map passes over most other lines before the shuffle."""
-    bits = wanted.select(F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    mapped = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    word = F.pmod(F.shiftright("h", 6), F.lit(MAP_WORDS))
-    likely = found.select("h", "line", word.alias("word")).join(F.broadcast(mapped), "word").where("(shiftright(bits, cast(h & 63 as int)) & 1) = 1")
-    return likely.select("h", "line").join(wanted, "h").groupBy("h").agg(F.min("line").alias("line"))
+    return likely(found.select("h", "line"), wanted, "h").groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h")
+
+
+def _shingled(rows: DataFrame, **names: str) -> DataFrame:
+    """Adds sets of shingle hashes, each from the named line. The inner function's line is a variable, which isn't copied at each use."""
+    def each(wide):
+        ends = F.sequence(F.lit(1), F.greatest(F.octet_length(wide).cast("int") - 2 * CHARS + 1, F.lit(1)), F.lit(2))
+        return F.transform(ends, lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * CHARS))))
+
+    wide = rows.withColumns({new: _wide(F.col(old)) for new, old in names.items()})
+    return wide.withColumns({new: F.array_distinct(F.flatten(F.transform(F.array(new), each))) for new in names})
+
 
+def similar(pairs: DataFrame, texts: DataFrame, hubs: bool = False) -> DataFrame:
+    """The pairs (u, v, ...) whose exact Jaccard similarity, of their sets of shingles, is enough. pairs and texts are written tables; hubs: a line
+    may be u in a large part of all pairs."""
+    both = pairs
+    for end, name in (("u", "a"), ("v", "b")):
+        hot = hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end) if hubs and end == "u" else []
+        own = texts.select(F.col("h").alias(end), F.col("line").alias(name), F.col("size").alias(f"size_{name}"))
+        both = spread_join(both, own, [end], hot, by=F.xxhash64("u", "v"))
+    alike = both.where(_sized("size_a", "size_b"))
+    sets = _shingled(alike, a="a", b="b").select(*pairs.columns, F.col("size_a").alias("x"), F.col("size_b").alias("y"), F.size(F.array_intersect("a", "b")).alias("n"))
+    return written(sets.where(F.col("n") >= (F.col("x") + F.col("y") - F.col("n")) * SIMILARITY).select(*pairs.columns), "line-links")
 
-def _shingles(rows: DataFrame, *names: str) -> DataFrame:
-    """The named lines as arrays of shingle hashes. Step by step, so that a line is encoded once, not for each shingle."""
-    def each(n):
-        return F.transform(F.sequence(F.lit(0), _last(F.col(n))), lambda i: F.xxhash64(F.substring(F.col(n), 2 * i + 1, F.lit(2 * CHARS))))
 
-    wide = rows.withColumns({n: _wide(F.col(n)) for n in names})
-    return wide.withColumns({n: each(n) for n in names})
+def _sized(x: str, y: str):
+    """Whether sets of these sizes can be similar."""
+    return F.least(x, y) >= F.greatest(x, y) * SIMILARITY
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(h, size, o0 .., k0 ..): the number of different shingles, the parity of how many of them hash to each of its bits, and the band keys."""
-    each = _shingles(texts.withColumnRenamed("line", "a"), "a").select("h", F.explode(F.array_distinct("a")).alias("s"))
+def open_lines(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, h, label, open, p0 ..): the lines of large buckets in which not all lines are known to be connected, with the number of the bucket's lines and
+    some pivots, the same for all of them. labels: (node, root); lines of a label are connected, and a line without one is its own."""
+    labelled = members.join(labels.select(F.col("node").alias("h"), F.col("root").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    labelled = written(labelled.select("key", "h", "label"), "line-labels")
+    pivots = [F.min_by("h", F.xxhash64("h", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    parted = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("open"), *pivots).where("a <> b").drop("a", "b")
+    opened = written(spread_join(labelled, parted, ["key"], hot_keys(parted, "key", "open")), "line-open")
+    discard(labelled)
+    return opened
+
+
+def sketched(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, size, o0 ..) of each open line: its number of shingles, and the parity of how many of them hash to each bit of o."""
+    each = _shingled(opened.select("h").distinct().join(texts, "h"), a="line").select("h", "size", F.explode("a").alias("s"))
     bit = F.expr("shiftleft(1L, cast(shiftright(s, 8) & 63 as int))")
     words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(SKETCH - 1)) == k, bit).otherwise(F.lit(0))).alias(f"o{k}") for k in range(SKETCH)]
-    return each.groupBy("h").agg(F.count("*").alias("size"), *words, *_minima()).select("h", "size", *(f"o{k}" for k in range(SKETCH)), *(k.alias(f"k{b}") for b, k in enumerate(_band_keys())))
+    return written(each.groupBy("h", "size").agg(*words), "line-sketches")
+
+
+def _labelled(sketches: DataFrame, opened: DataFrame) -> DataFrame:
+    return sketches.join(opened.groupBy("h").agg(F.min("label").alias("label")), "h")
+
+
+def _ends(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def end(name):
+        return lines.select(*(F.col(c) if c in ("key", "s") else F.col(c).alias(f"{name}_{c}") for c in lines.columns))
 
+    return end("u"), end("v")
 
-def _possible(x: str, y: str):
-    """Whether two lines can be similar. Each shingle that only one of them has changes one bit of the sketches' difference, so
-    that has no more bits than there are such shingles; at a similarity of 0.8 these are a ninth of both sizes at most."""
-    bits = sum((F.bit_count(F.col(f"{x}.o{k}").bitwiseXOR(F.col(f"{y}.o{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{x}.o0").bitwiseXOR(F.col(f"{y}.o0"))))
-    return bits * (1 + SIMILARITY) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (1 - SIMILARITY) + 1e-6
 
+def _possible():
+    """Whether two lines, not known to be connected, can be similar. Each shingle that only one of them has changes one bit of the sketches'
+    difference, so that has no more bits than there are such shingles; at a similarity of 0.8 these are a ninth of both sizes at most."""
+    bits = sum((F.bit_count(F.col(f"u_o{k}").bitwiseXOR(F.col(f"v_o{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("u_o0").bitwiseXOR(F.col("v_o0"))))
+    few = bits * (1 + SIMILARITY) <= (F.col("u_size") + F.col("v_size")) * (1 - SIMILARITY) + 1e-6
+    return (F.col("u_h") < F.col("v_h")) & (F.col("u_label") != F.col("v_label")) & _sized("u_size", "v_size") & few
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose exact Jaccard similarity, of their sets of shingles, is enough."""
-    both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
-    sets = _shingles(both, "a", "b").select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), F.size(F.array_union("a", "b")).alias("all"))
-    found = written(sets.select("u", "v", (F.col("n") >= F.col("all") * SIMILARITY).alias("similar")), "line-pairs")
-    return found.where("similar").select("u", "v")
 
+def pivot_pairs(opened: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of each line of a bucket of over PIVOTED open lines with the bucket's pivots."""
+    large = opened.where(F.col("open") > PIVOTED)
+    ends = large.select("h", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")).where("h <> p")
+    pairs = ends.select(F.least("h", "p").alias("u_h"), F.greatest("h", "p").alias("v_h")).distinct()
+    u, v = _ends(sketches)
+    return pairs.join(u, "u_h").join(v, "v_h").where(_possible())
 
-def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """members with a label: lines of one label are connected (those of different labels may be, too). A line without links is its own.
 
-    Labels are least neighbours, followed and spread a few times; full components would take more rounds.
+def small_pairs(opened: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of lines of a bucket with up to SMALL open lines, each in the first bucket that both are in."""
+    near = opened.where(F.col("open") <= SMALL).select("key", "h")
+    own = near.groupBy("h").agg(F.collect_set("key").alias("keys")).join(sketches, "h")
+    u, v = _ends(near.join(own, "h"))
+    return u.join(v, "key").where(_possible() & (F.array_min(F.array_intersect("u_keys", "v_keys")) == F.col("key"))).drop("u_keys", "v_keys")
+
+
+def prefix_pairs(opened: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of the open lines of larger buckets: all that can be similar, by prefix filtering.
+
+    Only shingles that lines of two labels have can be shared by such a pair. A line needs 0.8 of its shingles to be among these, or has
+    no partner. With all shingles in one order, rarest first, two similar lines share one among the first (so many as they have,
+    less what they need, and one) of each, so only these are joined; and after the first one that they share, both have enough left to
+    share what they need. A passage that many lines quote is frequent, and stands at the end of each line's order.
     """
-    both = cut(linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    large = opened.where(F.col("open") > SMALL).groupBy("h").agg(F.min("label").alias("label"))
+    sets = _shingled(large.join(texts, "h"), a="line").select("h", "label", "size", F.explode("a").alias("s"))
+    rows = written(sets, "line-shingles")
+    counts = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    counts = written(counts.where("a <> b").select("s", "n"), "line-shingle-counts")
+    met = written(spread_join(rows, counts, ["s"], hot_keys(counts, "s")), "line-shingles-met")
+    discard(rows, counts)
+    need = F.ceil(F.col("size") * SIMILARITY - 1e-9)
+    enough = met.groupBy("h").agg(F.count("*").alias("m"), F.max("size").alias("size")).where(F.col("m") >= need).select("h", "m")
+    place = F.row_number().over(Window.partitionBy("h").orderBy("n", "s"))
+    first = met.join(enough, "h").withColumn("place", place).where(F.col("place") <= F.col("m") - need + 1)
+    u, v = _ends(first.select("s", "h", (F.col("m") - F.col("place") + 1).alias("rest")).join(sketches, "h"))
+    shared = (F.col("u_size") + F.col("v_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    return u.join(v, "s").where(_possible() & (F.least("u_rest", "v_rest") >= shared))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v), labels: those of the pairs that are similar."""
+    pairs = written(pairs.select(F.col("u_h").alias("u"), F.col("v_h").alias("v"), "u_label", "v_label").distinct(), "line-pairs")
+    links = similar(pairs, texts).select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    discard(pairs)
+    return links
+
+
+def _nearer(opened: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): labels after links between them, as far as two steps go; lines of a label are connected, those of two may be, too.
+
+    A label goes to the least of itself and its neighbours, and where that one goes: the labels around a pivot get one.
+    """
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
+    onward = least.select(F.col("u").alias("m"), F.col("m").alias("next"))
+    labels = least.join(onward, "m").select(F.col("u").alias("label"), "next")
+    lines = opened.groupBy("h").agg(F.min("label").alias("label"))
+    return cut(lines.join(labels, "label", "left").select(F.col("h").alias("node"), F.coalesce("next", "label").alias("root")))
 
-    def followed(labels):
-        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        return labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
 
-    labels = followed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")))
-    for _ in range(HOPS):
-        spread = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("other"))
-        labels = followed(cut(labels.join(spread, F.col("node") == F.col("u")).select("node", F.least("label", "other").alias("label"))))
-    labels = labels.withColumnRenamed("node", "h")
-    return members.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
+def _moved(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): rooted, with the roots connected that links (u, v) connect."""
+    top = cut(components(links).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    moved = rooted.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = top.select(F.col("root").alias("node"), F.col("top").alias("root")).join(rooted.select("node"), "node", "left_anti")
+    return cut(moved.unionByName(alone))
 
 
-def edges(found: DataFrame) -> DataFrame:
-    """(u, v) between distinct lines: links whose components are those of all candidate pairs that are similar.
+def connected(found: DataFrame) -> DataFrame:
+    """(node, root) of the distinct lines that are connected with others: those of all pairs of a bucket that are similar.
 
-    First all lines of a bucket are compared with one of them; a bucket of two is done with that, and so is one
-    that is known to be connected now. In the others, lines are compared with a few pivots more, and at last with
-    each other: always only lines that aren't known to be connected and whose sketches leave a similarity of 0.8
-    possible. Neither condition loses a link that would connect anything, and a bucket of many like lines is
-    connected before its pairs are made.
+    First the lines of a bucket are compared with its pivot. That settles buckets of two, and those whose lines are all connected by
+    now. Lines of larger buckets are compared with some more pivots. In what is left, pairs that aren't known to be connected are compared: in small buckets all whose sketches leave a similarity
+    of 0.8 possible, in larger ones those of them that share one of their rarest shingles. Neither condition loses a link.
     """
-    bucket = written(buckets(signatures(found)), "line-buckets")
-    texts = written(texts_of(found, bucket.select("h").distinct()), "line-texts")
-    star = bucket.where("h <> pivot").select(F.col("pivot").alias("u"), F.col("h").alias("v")).distinct()
-    linked = similar(star, texts)
-    labelled = _labelled(bucket.where("n > 2").select("key", "band", "h"), linked)
-    w = Window.partitionBy("key")
-    open_ = labelled.withColumns({"_a": F.min("label").over(w), "_b": F.max("label").over(w)}).where("_a <> _b").drop("_a", "_b")
-    open_ = written(open_, "line-open")
-    sketched = sketches(texts.join(open_.select("h").distinct(), "h", "left_semi"))
-    members = written(open_.join(sketched, "h"), "line-members")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("h"), "h"))
-    pivots = members.withColumn("place", place).where(F.col("place") <= PIVOTS).drop("place")
-    linked = linked.unionByName(similar(_unconnected(members, pivots).distinct(), texts))
-    labelled = _labelled(members.drop("label"), linked)
-    met = [(F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}")) for b in range(len(BANDS) - 1)]
-    before = met[0]
-    for m in met[1:]:
-        before = before | m
-    return linked.unionByName(similar(_unconnected(labelled, labelled, (F.col("x.h") < F.col("y.h")) & ~before), texts))
-
-
-def _unconnected(left: DataFrame, right: DataFrame, further=None) -> DataFrame:
-    """(u, v), u before v: pairs of a bucket that aren't known to be connected and may be similar."""
-    where = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _possible("x", "y")
-    pairs = left.alias("x").join(right.alias("y"), where if further is None else where & further)
-    return pairs.select(F.least("x.h", "y.h").alias("u"), F.greatest("x.h", "y.h").alias("v"))
+    signed = written(signatures(found), "line-signatures")
+    pairs, members = candidates(signed)
+    discard(signed)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    texts = _shingled(texts_of(found, ends), a="line").select("h", "line", F.size("a").alias("size"))
+    texts = written(texts, "line-texts")
+    rooted = cut(components(similar(pairs, texts, hubs=True)))
+    opened = open_lines(members, rooted)
+    sketches = sketched(opened, texts)
+    links, left = [], opened
+    if not opened.where(F.col("open") > PIVOTED).isEmpty():
+        links.append(_linked(pivot_pairs(opened, _labelled(sketches, opened)), texts))
+        left = open_lines(opened.select("key", "h"), _nearer(opened, links[0]))
+    marked = _labelled(sketches, left)
+    further = [small_pairs(left, marked).drop("key")]
+    if not left.where(F.col("open") > SMALL).isEmpty():
+        further.append(prefix_pairs(left, marked, texts).drop("s", "u_rest", "v_rest"))
+    links.append(_linked(reduce(DataFrame.unionByName, further), texts))
+    rooted = _moved(rooted, reduce(DataFrame.unionByName, links))
+    discard(pairs, members, texts, sketches, opened)
+    if left is not opened:
+        discard(left)
+    return rooted
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,27 +282,35 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines are split at line feeds and compared trimmed, in lower case, as sets of 10-character shingles; lines
     connected by similarities of 0.8 or more are a group, of which the first line stays, by id (null first),
     then line_no. Blank lines always stay and have no row; null and empty texts have none.
-    Equal lines are one node, told apart by a 64-bit hash. Rows that repeat an id have equal lines at equal
+    Equal lines are one node, told apart by two 64-bit hashes. Rows that repeat an id have equal lines at equal
     places, which stay or go together. No rows in, no rows out; other columns are not read.
     """
-    found = lines(docs, id_col, text_col)
-    rooted = cut(components(edges(found)))
-    placed = found.select("id", "line_no", "h").join(rooted.withColumnRenamed("node", "h"), "h", "left").select("id", "line_no", F.coalesce("root", "h").alias("root"))
-    placed = written(placed, "lines")
-    groups = placed.groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("group_size"))
-    return placed.join(groups, "root").select(
+    found, repeated = counted_lines(written(lines(docs, id_col, text_col), "lines"))
+    grouped = connected(found).withColumnRenamed("node", "h")
+    alone = repeated.join(grouped, "h", "left_anti").select("h", F.col("h").alias("root"))
+    marked = spread_join(found.select("id", "line_no", "h"), grouped.unionByName(alone), ["h"], hot_keys(repeated, "h"), "left")
+    placed = written(marked.select("id", "line_no", "root"), "line-groups")
+    groups = placed.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("group_size"))
+    groups = cut(groups)
+    answer = spread_join(placed, groups, ["root"], hot_keys(groups, "root", "group_size"), "left")
+    first = F.when(F.col("root").isNull(), F.struct("id", "line_no")).otherwise(F.col("first"))
+    return answer.withColumn("first", first).select(
         F.col("id").alias(id_col),
         "line_no",
         F.col("first.id").alias(f"keep_{id_col}"),
         F.col("first.line_no").alias("keep_line_no"),
-        "group_size",
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with the lines that don't stay taken out of the text; a null text stays null."""
-    gone = fuzzy_lines(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("_lid")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_lid")), "left")
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+    """docs, with the lines that don't stay taken out of the text; a null text stays null.
+
+    Nulls, empty texts, repeated rows and empty tables: as fuzzy_lines.
+    """
+    lid, gone = own_name("_lid", docs), own_name("_gone", docs)
+    dropped = fuzzy_lines(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias(lid)).agg(F.collect_set("line_no").alias(gone))
+    joined = docs.join(dropped, F.col(id_col).eqNullSafe(F.col(lid)), "left")
+    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
     return joined.withColumn(text_col, F.array_join(left, "\n")).select(*docs.columns)
