@@ -37,6 +37,11 @@ def escaped_html(text: Column) -> Column:
     return out
 
 
+def encoded_base64(text: Column) -> Column:
+    """The base64 of a text's UTF-8 in one line; F.base64 breaks it after every 76 characters."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
+
+
 def exif_time(text: Column) -> Column:
     """`2023:05:06 07:08:09` as a timestamp without zone; null if it isn't one."""
     return F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")

@@ -205,4 +205,4 @@ def metadata_multimap(spark, d):
 
 @query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, to_base64(encode(url)) AS encoded FROM pages""")
 def html_escape_base64(spark, d):
-    return read(spark, d, "pages").select("page_id", text.escaped_html(F.col("html")).alias("escaped"), F.base64(F.encode("url", "UTF-8")).alias("encoded"))
+    return read(spark, d, "pages").select("page_id", text.escaped_html(F.col("html")).alias("escaped"), text.encoded_base64(F.col("url")).alias("encoded"))

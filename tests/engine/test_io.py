@@ -1,5 +1,6 @@
 """Sources, sinks and streams."""
 
+import base64
 import json
 import struct
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mensura.functions import text
 from mensura.operators import calibration, scoring, windows
 from mensura.sinks import documents as sinks
 from mensura.sources import binary
@@ -154,3 +156,9 @@ def test_layout_of_a_simulated_flat(spark):
     lengths = sorted(r.length for r in got["lines"].where("scene = 2").collect())
     assert lengths == pytest.approx([3.0, 3.0, 4.0, 4.0], abs=0.06)
     assert layout(cloud.where("scene = 9"))["rooms"].count() == 0
+
+
+def test_base64_of_long_texts_is_one_line(spark):
+    texts = ["", "https://a", "x" * 57, "ü" * 29, "x" * 58, "https://example.org/" + "x" * 300, None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, s string").select("i", text.encoded_base64(F.col("s")).alias("b")).collect()
+    assert {r.i: r.b for r in got} == {i: None if s is None else base64.b64encode(s.encode()).decode() for i, s in enumerate(texts)}
