@@ -131,10 +131,11 @@ def line_tops(lines: DataFrame, tops: DataFrame, key: str, size: float) -> DataF
     along = lines.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("t", F.col("lo") + F.col("k") * step)
     cell = lambda c: F.floor(F.round(c / size, 9))
     x, y = F.when(F.col("axis") == 0, F.col("off")).otherwise(F.col("t")), F.when(F.col("axis") == 0, F.col("t")).otherwise(F.col("off"))
-    around = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    probe = along.withColumns({"jx": cell(x), "jy": cell(y)}).withColumn("s", F.explode(around))
-    probe = probe.select(key, "line", "facing", "k", (F.col("jx") + F.col("s.dx")).alias("ix"), (F.col("jy") + F.col("s.dy")).alias("iy"))
-    best = probe.join(tops, [key, "facing", "ix", "iy"]).groupBy(key, "line", "k").agg(F.max("top").alias("top")).where("top > 0")
+    around = F.array(*[F.struct((F.col("ix") + a).alias("ix"), (F.col("iy") + b).alias("iy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    spread = tops.select(key, "facing", "top", F.explode(around).alias("s")).groupBy(key, "facing", "s.ix", "s.iy").agg(F.max("top").alias("top")).where("top > 0")
+    # Spark takes exploded lines to be as small as the lines and would broadcast them
+    probe = along.select(key, "line", "facing", "k", cell(x).alias("ix"), cell(y).alias("iy")).hint("merge")
+    best = probe.join(spread, [key, "facing", "ix", "iy"]).groupBy(key, "line", "k").agg(F.max("top").alias("top"))
     found = best.groupBy(key, "line").agg(F.median("top").alias("top"))
     return lines.select(key, "line").join(found, [key, "line"], "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
 

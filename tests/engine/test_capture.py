@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura import __main__ as commands
-from mensura.operators import drift, openings, order, outlines, registration
+from mensura.operators import assembly, drift, openings, order, outlines, registration
 from mensura.operators import kernels as K
 from mensura.sinks import documents as sinks
 from mensura.sources import captures as src
@@ -232,3 +232,20 @@ def test_commands(spark, tmp_path, capsys):
     assert commands.main(["calibrate", str(tmp_path / "items"), str(tmp_path / "p.json"), "d"]) == 0
     assert json.loads(capsys.readouterr().out)["fitted"] is True
     assert commands.main(["schema", str(tmp_path / "items"), "Items"]) == 0
+
+
+def test_line_tops_takes_the_greatest_around(spark):
+    """Heights in the 3 x 3 cells around each place, of the line's own facing; a line with two faces has one height a place."""
+    tops = spark.createDataFrame([(1, 0, 0, 0, 2.0), (1, 0, 5, 1, 3.0), (1, 1, 0, 1, 9.0), (1, 0, 2, 9, -1.0), (2, 0, 0, 0, 7.0)], "scene int, facing int, ix long, iy long, top double")
+    lines = [(1, 10, 0, 1, 0.0, 0.0, 0.5), (1, 11, 0, 1, 0.1, 0.0, 1.5), (1, 12, 1, 0, 0.1, 0.0, 0.1), (1, 13, 0, 0, 0.5, 2.25, 2.3), (1, 14, 0, 1, 0.0, 0.0, 0.1), (1, 14, 1, 1, 0.0, 0.0, 0.1), (3, 15, 0, 0, 0.0, 0.0, 1.0)]
+    lines = spark.createDataFrame(lines, "scene int, line int, facing int, axis int, off double, lo double, hi double")
+    got = {r.line: r.top for r in assembly.line_tops(lines, tops, "scene", 0.25).collect()}
+    assert got == {10: 2.0, 11: 2.5, 12: 9.0, 13: 0.0, 14: 9.0, 15: 0.0}
+
+
+def test_line_tops_broadcasts_no_exploded_lines(spark):
+    """Spark estimates exploded lines by the lines, whose bytes are few."""
+    tops = spark.range(10**6).selectExpr("CAST(id % 9 AS INT) AS scene", "0 AS facing", "id AS ix", "id AS iy", "1.0D AS top")
+    lines = spark.range(100).selectExpr("CAST(id % 9 AS INT) AS scene", "id AS line", "0 AS facing", "0 AS axis", "0.0D AS off", "0.0D AS lo", "1000.0D AS hi")
+    plan = assembly.line_tops(lines, tops, "scene", 0.25)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan, plan
