@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,12 +46,13 @@ def select_keyframes(poses: DataFrame, distance: float = 0.04, angle: float = 4.
 
 
 def submaps(poses: DataFrame, distance: float = 1.0, angle: float = 40.0, frames: int = 30) -> DataFrame:
-    """Numbers the parts of a capture; a part ends where a pose is far from its first one, or it is full."""
+    """Numbers the parts of a capture; a part ends where a pose is far from its first one, or it is full. The distance is rounded at each step,
+    as in SQL: np.hypot puts some places that are just `distance` away beyond it."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "pose"], kind="stable")
         part, anchor, size, out = -1, None, 0, []
         for x, z, a in zip(pdf["x"], pdf["z"], pdf["heading"]):
-            far = anchor is None or np.hypot(x - anchor[0], z - anchor[1]) > distance or abs((a - anchor[2] + 180) % 360 - 180) > angle or size >= frames
+            far = anchor is None or sqrt((x - anchor[0]) ** 2 + (z - anchor[1]) ** 2) > distance or abs((a - anchor[2] + 180) % 360 - 180) > angle or size >= frames
             if far:
                 part, anchor, size = part + 1, (x, z, a), 0
             size += 1

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mensura.operators import kernels as K
+from mensura.operators import windows
 from mensura.plans import catalogue
 from mensura.plans.adapters import poses
 
@@ -191,3 +192,10 @@ def test_cover_and_stitch():
     k, tx, ty = placed[2]
     x, y = [(1.5, 0), (0, 1.5), (-1.5, 0), (0, -1.5)][k]
     assert (x + tx, y + ty) == pytest.approx((3, 1.5))
+
+
+def test_submaps_at_the_distance(spark):
+    """Offsets of 0.8 and 0.6 that are a bit more as doubles: the distance, rounded at each step, isn't over 1."""
+    rows = [(1, 0, 0.0, 41 / 50, 0.0, 0.0), (1, 1, 1.0, 81 / 50, 24 / 40, 0.0), (1, 2, 2.0, 82 / 50, 24 / 40, 0.0), (2, 0, 0.0, 81 / 50, 24 / 40, 0.0), (2, 1, 1.0, 41 / 50, 0.0, 0.0)]
+    got = windows.submaps(spark.createDataFrame(rows, "capture long, pose long, t double, x double, z double, heading double")).collect()
+    assert sorted((r.capture, r.pose, r.submap) for r in got) == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 0)]
