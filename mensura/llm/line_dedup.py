@@ -107,14 +107,15 @@ def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return likely(found.select("h", "line"), wanted, "h").groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h")
 
 
-def _shingled(rows: DataFrame, **names: str) -> DataFrame:
-    """Adds sets of shingle hashes, each from the named line. The inner function's line is a variable, which isn't copied at each use."""
+def _shingled(rows: DataFrame, distinct: bool = True, **names: str) -> DataFrame:
+    """Adds sets (or all) of the shingle hashes, each from the named line. The inner function's line is a variable, which isn't copied at each use."""
     def each(wide):
         ends = F.sequence(F.lit(1), F.greatest(F.octet_length(wide).cast("int") - 2 * CHARS + 1, F.lit(1)), F.lit(2))
         return F.transform(ends, lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * CHARS))))
 
     wide = rows.withColumns({new: _wide(F.col(old)) for new, old in names.items()})
-    return wide.withColumns({new: F.array_distinct(F.flatten(F.transform(F.array(new), each))) for new in names})
+    hashes = {new: F.flatten(F.transform(F.array(new), each)) for new in names}
+    return wide.withColumns({new: F.array_distinct(a) if distinct else a for new, a in hashes.items()})
 
 
 def similar(pairs: DataFrame, texts: DataFrame, hubs: bool = False) -> DataFrame:
@@ -126,7 +127,8 @@ def similar(pairs: DataFrame, texts: DataFrame, hubs: bool = False) -> DataFrame
         own = texts.select(F.col("h").alias(end), F.col("line").alias(name), F.col("size").alias(f"size_{name}"))
         both = spread_join(both, own, [end], hot, by=F.xxhash64("u", "v"))
     alike = both.where(_sized("size_a", "size_b"))
-    sets = _shingled(alike, a="a", b="b").select(*pairs.columns, F.col("size_a").alias("x"), F.col("size_b").alias("y"), F.size(F.array_intersect("a", "b")).alias("n"))
+    # the intersection has each shingle once, and the sizes are known
+    sets = _shingled(alike, distinct=False, a="a", b="b").select(*pairs.columns, F.col("size_a").alias("x"), F.col("size_b").alias("y"), F.size(F.array_intersect("a", "b")).alias("n"))
     return written(sets.where(F.col("n") >= (F.col("x") + F.col("y") - F.col("n")) * SIMILARITY).select(*pairs.columns), "line-links")
 
 
@@ -136,12 +138,12 @@ def _sized(x: str, y: str):
 
 
 def open_lines(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, h, label, open, p0 ..): the lines of large buckets in which not all lines are known to be connected, with the number of the bucket's lines and
-    some pivots, the same for all of them. labels: (node, root); lines of a label are connected, and a line without one is its own."""
+    """(key, h, label, open, main, p0 ..): the lines of large buckets in which not all lines are known to be connected, with the number of the bucket's lines,
+    the label of its first pivot and some pivots, the same for all of them. labels: (node, root); lines of a label are connected, and a line without one is its own."""
     labelled = members.join(labels.select(F.col("node").alias("h"), F.col("root").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
     labelled = written(labelled.select("key", "h", "label"), "line-labels")
     pivots = [F.min_by("h", F.xxhash64("h", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-    parted = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("open"), *pivots).where("a <> b").drop("a", "b")
+    parted = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("open"), F.min_by("label", "h").alias("main"), *pivots).where("a <> b").drop("a", "b")
     opened = written(spread_join(labelled, parted, ["key"], hot_keys(parted, "key", "open")), "line-open")
     discard(labelled)
     return opened
@@ -171,7 +173,7 @@ def _possible():
     difference, so that has no more bits than there are such shingles; at a similarity of 0.8 these are a ninth of both sizes at most."""
     bits = sum((F.bit_count(F.col(f"u_o{k}").bitwiseXOR(F.col(f"v_o{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("u_o0").bitwiseXOR(F.col("v_o0"))))
     few = bits * (1 + SIMILARITY) <= (F.col("u_size") + F.col("v_size")) * (1 - SIMILARITY) + 1e-6
-    return (F.col("u_h") < F.col("v_h")) & (F.col("u_label") != F.col("v_label")) & _sized("u_size", "v_size") & few
+    return (F.col("u_label") != F.col("v_label")) & _sized("u_size", "v_size") & few
 
 
 def pivot_pairs(opened: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -184,11 +186,15 @@ def pivot_pairs(opened: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def small_pairs(opened: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of lines of a bucket with up to SMALL open lines, each in the first bucket that both are in."""
-    near = opened.where(F.col("open") <= SMALL).select("key", "h")
+    """Pairs of lines of a bucket with up to SMALL open lines, each in the first bucket that both are in. Of two lines of different labels one at least
+    hasn't the bucket's main label, which most have: only those are compared with the others."""
+    near = opened.where(F.col("open") <= SMALL).select("key", "h", "main")
     own = near.groupBy("h").agg(F.collect_set("key").alias("keys")).join(sketches, "h")
-    u, v = _ends(near.join(own, "h"))
-    return u.join(v, "key").where(_possible() & (F.array_min(F.array_intersect("u_keys", "v_keys")) == F.col("key"))).drop("u_keys", "v_keys")
+    rows = near.join(own, "h").withColumn("main", F.col("main") == F.col("label"))
+    u, v = _ends(rows)
+    once = F.col("v_main") | (F.col("u_h") < F.col("v_h"))
+    met = u.where("not u_main").join(v, "key").where(once & _possible() & (F.array_min(F.array_intersect("u_keys", "v_keys")) == F.col("key")))
+    return met.drop("key", "u_keys", "v_keys", "u_main", "v_main")
 
 
 def prefix_pairs(opened: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,7 +218,7 @@ def prefix_pairs(opened: DataFrame, sketches: DataFrame, texts: DataFrame) -> Da
     first = met.join(enough, "h").withColumn("place", place).where(F.col("place") <= F.col("m") - need + 1)
     u, v = _ends(first.select("s", "h", (F.col("m") - F.col("place") + 1).alias("rest")).join(sketches, "h"))
     shared = (F.col("u_size") + F.col("v_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
-    return u.join(v, "s").where(_possible() & (F.least("u_rest", "v_rest") >= shared))
+    return u.join(v, "s").where((F.col("u_h") < F.col("v_h")) & _possible() & (F.least("u_rest", "v_rest") >= shared))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -265,7 +271,7 @@ def connected(found: DataFrame) -> DataFrame:
         links.append(_linked(pivot_pairs(opened, _labelled(sketches, opened)), texts))
         left = open_lines(opened.select("key", "h"), _nearer(opened, links[0]))
     marked = _labelled(sketches, left)
-    further = [small_pairs(left, marked).drop("key")]
+    further = [small_pairs(left, marked)]
     if not left.where(F.col("open") > SMALL).isEmpty():
         further.append(prefix_pairs(left, marked, texts).drop("s", "u_rest", "v_rest"))
     links.append(_linked(reduce(DataFrame.unionByName, further), texts))

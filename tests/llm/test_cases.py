@@ -120,6 +120,30 @@ def test_a_bucket_of_many_unlike_lines(spark, monkeypatch):
     assert read() == whole
 
 
+def test_pairs_of_a_bucket_have_an_end_beside_its_main_label(spark):
+    """Pairs of lines of different labels, each once, and none of them between two lines of the bucket's main label."""
+    rng = random.Random(8)
+    texts = [f"{some_text(99, 30)} {some_text(i, 3)}" for i in range(12)]
+    found = line_dedup.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    h = {r.id: r.h for r in found.collect()}
+    label = {i: h[0] if i < 8 else h[i] for i in h}
+    members = [(k, h[i]) for k in (1, 2) for i in sorted(rng.sample(range(1, 12), 10)) + [0]]
+    labels = spark.createDataFrame([(h[i], label[i]) for i in h], "node long, root long")
+    opened = line_dedup.open_lines(common.written(spark.createDataFrame(members, "key long, h long"), "members"), labels)
+    main = {k: label[{x: i for i, x in h.items()}[min(x for key, x in members if key == k)]] for k in (1, 2)}
+    assert {r.key: r.main for r in opened.collect()} == main
+    sized = line_dedup._shingled(found, a="line").select("h", "line", F.size("a").alias("size"))
+    sketches = line_dedup._labelled(line_dedup.sketched(opened, sized), opened)
+    got = [(r.u_h, r.v_h) for r in line_dedup.small_pairs(opened, sketches).collect()]
+    held = [{x for key, x in members if key == k} for k in (1, 2)]
+    shingles = {h[i]: {t[j : j + 10] for j in range(len(t) - 9)} for i, t in enumerate(texts)}
+    of = {h[i]: label[i] for i in h}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    want = {(a, b) for s in held for a in s for b in s if a < b and of[a] != of[b] and alike(a, b)}
+    assert want and want <= {(min(p), max(p)) for p in got} and len(got) == len({(min(p), max(p)) for p in got})
+    assert all(of[a] != of[b] for a, b in got)
+
+
 def test_linked_fingerprints_share_a_key(spark):
     rng = np.random.default_rng(8)
     f = rng.integers(0, 2**64, 300, dtype=np.uint64)
