@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,21 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def one_map(spark: SparkSession):
+    """Aggregates of plans that are made and run in here have one hash map a task, not a small one before it."""
+    name = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def text_remainder(id_col: str, k: int):
     """crc32 of the id written as text, modulo k; the folds of the contracts. A null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % k, F.lit(0))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, hot_keys, likely, own_name, spread_join, written
+from .common import cut, discard, hot_keys, likely, one_map, own_name, spread_join, written
 from .graph import components
 
 #: Characters (UTF-16 units) of a shingle; a shorter line is one shingle.
@@ -28,6 +28,10 @@ SMALL = 2048
 PIVOTS, PIVOTED = 8, 64
 
 
+#: What is trimmed from the ends of a line.
+BLANKS = " \t\r\x0b\x0c"
+
+
 def _mask(i: int) -> int:
     """Masks that differ in their first bits: a minimum under each is of a part of the hashes of its own."""
     x = (i * 0x1C71C71C71C71C71 + 0x3243F6A8885A308D) % 2**64
@@ -41,7 +45,10 @@ def _hash(line):
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line, h) of all lines that aren't blank. Lines are compared trimmed and in lower case."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
-    plain = split.select("id", "line_no", F.lower(F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c"))).alias("line"))
+    raw = F.col("raw")
+    # Spark's trim goes through all characters of a line; a look at its ends tells whether it is needed
+    ragged = reduce(lambda a, b: a | b, (at(raw, F.lit(c)) for c in BLANKS for at in (F.startswith, F.endswith)))
+    plain = split.select("id", "line_no", F.lower(F.when(ragged, F.trim(raw, F.lit(BLANKS))).otherwise(raw)).alias("line"))
     return plain.where("line <> ''").withColumn("h", _hash(F.col("line")))
 
 
@@ -91,7 +98,9 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     one makes a pair with the pivot.
     """
     keyed = banded(signed)
-    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1"), "line-buckets")
+    # nearly all keys differ, so that a small map before the large one is only in the way
+    with one_map(keyed.sparkSession):
+        buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1"), "line-buckets")
     large = buckets.where("n > 2").select("key", "n", F.col("lo").alias("pivot"))
     held = likely(keyed, large.select("key"), "key")
     members = written(spread_join(held, large, ["key"], hot_keys(large, "key"), by=F.col("h")).select("key", "h", "pivot"), "line-members")

@@ -108,6 +108,28 @@ def test_line_pairs_at_the_similarity_meet(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(300)) >= 294 and all(got[2 * i] == 2 * i for i in range(300))
 
 
+def test_lines_are_trimmed_only_where_their_ends_ask_for_it(spark):
+    """The same lines as by plain trimming; Spark's trim, which goes through all characters, is asked for only behind a look at the ends."""
+    blanks = [" ", "\t", "\r", "\x0b", "\x0c"]
+    raw = ["", "A b", "\xa0Ä ß\u2003", *blanks, *(f"{a}X {b} y{a}{b}" for a in blanks for b in blanks), *(f"{a}Ünde" for a in blanks), *(f"ende{a}" for a in blanks), "\x00 z", " \t "]
+    found = line_dedup.lines(spark.createDataFrame([(1, "\n".join(raw)), (2, None)], "doc_id long, text string"))
+    want = {k: t.strip(" \t\r\x0b\x0c").lower() for k, t in enumerate(raw)}
+    assert {r.line_no: r.line for r in found.collect()} == {k: t for k, t in want.items() if t}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.index("CASE WHEN") < plan.index("trim(")
+
+
+def test_buckets_are_counted_in_one_map(spark, monkeypatch):
+    """The small hash map, which nearly all different keys overflow, is off for the buckets only, and comes back."""
+    name, seen = "spark.sql.codegen.aggregate.map.twolevel.enabled", {}
+    monkeypatch.setattr(line_dedup, "written", lambda df, of: seen.setdefault(of, spark.conf.get(name)) and common.written(df, of))
+    rows = [(i, f"{some_text(99, 30)} {some_text(i, 2)}") for i in range(12)]
+    before = spark.conf.get(name)
+    line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert before == "true" and spark.conf.get(name) == before
+    assert {of for of, on in seen.items() if on == "false"} == {"line-buckets"}
+
+
 def test_a_bucket_of_many_unlike_lines(spark, monkeypatch):
     """Lines that quote one passage: small buckets, larger ones by pivots and by their rarest shingles give the same groups."""
     rng = random.Random(6)
