@@ -68,10 +68,13 @@ def text_remainder(id_col: str, k: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % k, F.lit(0))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, from a table of its own in the shared folder; compressed, so better than cut for wide rows."""
+def written(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """The same rows, from a table of its own in the shared folder; compressed, so better than cut for wide rows.
+
+    A dictionary of values that nearly all differ only costs time, at each reading, too.
+    """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", dictionary).parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.written_at = path
     return out
@@ -124,10 +127,11 @@ def own_name(name: str, *frames: DataFrame) -> str:
 MAP_WORDS = 1 << 20
 
 
-def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """rows whose key, a hash, may be among the wanted ones (distinct keys): all that are, and few others. No shuffle of rows."""
+def likely(rows: DataFrame, wanted: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """rows whose key, a hash, may be among the wanted ones (distinct keys): all that are, and few others; or the other rows. No shuffle of rows."""
     words = min(MAP_WORDS, 1 << max(4, (wanted.count() // 4).bit_length()))
     word, place = F.pmod(F.shiftright(key, 6), F.lit(words)), F.expr(f"cast({key} & 63 as int)")
     mapped = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
-    found = rows.withColumn("_word", word).join(F.broadcast(mapped), "_word")
-    return found.where(F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_word", "_bits")
+    found = rows.withColumn("_word", word).join(F.broadcast(mapped), "_word", "left" if others else "inner")
+    bit = F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1).cast("long"))
+    return found.where(F.coalesce(bit, F.lit(0)) == 0 if others else bit == 1).drop("_word", "_bits")

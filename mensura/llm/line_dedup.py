@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, hot_keys, likely, one_map, own_name, spread_join, written
+from . import common
+from .common import cut, discard, hot_keys, likely, one_map, own_name, spread_join
 from .graph import components
 
 #: Characters (UTF-16 units) of a shingle; a shorter line is one shingle.
@@ -17,7 +18,7 @@ SIMILARITY = 0.8
 #: five minima that agree hold a whole band. Of pairs at the similarity 99 in 100 meet, of closer ones more.
 MINIMA = 9
 BANDS = tuple((a, b, c) for a in range(9) for b in range(a + 1, 9) for c in range(b + 1, 9) if all((p + q + r) % 3 == 0 for p, q, r in zip(*(divmod(i, 3) for i in (a, b, c)))))
-#: Shingles that are hashed in one row of the signatures' aggregate.
+#: Shingles that are hashed in one row of the signatures' aggregate, a power of two.
 STEP = 4
 #: Words of 64 bits in a line's odd sketch.
 SKETCH = 16
@@ -42,6 +43,11 @@ def _hash(line):
     return F.xxhash64(line)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As common.written; most columns are hashes, so without dictionaries."""
+    return common.written(df, name, dictionary=False)
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line, h) of all lines that aren't blank. Lines are compared trimmed and in lower case."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
@@ -52,22 +58,6 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return plain.where("line <> ''").withColumn("h", _hash(F.col("line")))
 
 
-def counted_lines(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, (h, n) of each h that n > 1 lines have): equal lines have one h, and by now no others share one.
-
-    A second, independent hash tells lines apart whose first one clashes; these take a new one, until none clash.
-    """
-    while True:
-        second = F.xxhash64(F.lit("second"), "line")
-        counts = found.groupBy("h").agg(F.count("*").alias("n"), F.min(second).alias("a"), F.max(second).alias("b"))
-        repeated = written(counts.where("n > 1"), "line-counts")
-        clashing = repeated.where("a <> b").select("h", F.lit(True).alias("clash"))
-        if clashing.isEmpty():
-            return found, repeated.select("h", "n")
-        parted = F.when(F.col("clash"), F.xxhash64("h", F.lit("parted"), second)).otherwise(F.col("h"))
-        found = written(found.join(clashing, "h", "left").select("id", "line_no", "line", parted.alias("h")), "lines")
-
-
 def _wide(line):
     return F.encode(line, "UTF-16BE")
 
@@ -77,11 +67,36 @@ def _last(wide):
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(h, m0 .. m8) of each distinct line: the least hash of its shingles under each mask. No text is shuffled."""
-    wide = found.select("h", _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
-    each = wide.select("h", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    hashed = each.select("h", *(F.xxhash64(F.expr(f"substring(w, 2 * least(i + {j}, last) + 1, {2 * CHARS})")).alias(f"s{j}") for j in range(STEP)))
-    return hashed.groupBy("h").agg(*(F.min(F.least(*(F.col(f"s{j}").bitwiseXOR(F.lit(_mask(k))) for j in range(STEP)))).alias(f"m{k}") for k in range(MINIMA)))
+    """(h, n, clash, m0 .. m8) of each distinct line: how many lines have its hash, whether their second hashes differ, and the least hash of its
+    shingles under each mask. No text is shuffled."""
+    wide = found.select("h", F.xxhash64(F.lit("second"), "line").alias("second"), _wide(F.col("line")).alias("w")).withColumn("last", _last(F.col("w")))
+    each = wide.select("h", "second", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashed = each.select("h", "second", "i", *(F.xxhash64(F.expr(f"substring(w, 2 * least(i + {j}, last) + 1, {2 * CHARS})")).alias(f"s{j}") for j in range(STEP)))
+    rest = STEP
+    masked = {(j, k): F.col(f"s{j}").bitwiseXOR(F.lit(_mask(k))) for j in range(STEP) for k in range(MINIMA)}
+    while rest > 1:
+        rest //= 2
+        lesser = [F.when(masked[2 * j, k] < masked[2 * j + 1, k], masked[2 * j, k]).otherwise(masked[2 * j + 1, k]).alias(f"x{j}_{k}") for j in range(rest) for k in range(MINIMA)]
+        hashed = hashed.select("h", "second", "i", *lesser)
+        masked = {(j, k): F.col(f"x{j}_{k}") for j in range(rest) for k in range(MINIMA)}
+    minima = [F.min(masked[0, k]).alias(f"m{k}") for k in range(MINIMA)]
+    counted = hashed.groupBy("h").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("second").alias("a"), F.max("second").alias("b"), *minima)
+    return counted.select("h", "n", (F.col("a") != F.col("b")).alias("clash"), *(f"m{k}" for k in range(MINIMA)))
+
+
+def signed_lines(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, its signatures): equal lines have one h, and by now no others share one.
+
+    A second, independent hash tells lines apart whose first one clashes; these take a new one, until none clash.
+    """
+    while True:
+        signed = written(signatures(found), "line-signatures")
+        clashing = signed.where("clash").select("h", "clash")
+        if clashing.isEmpty():
+            return found, signed
+        parted = F.when(F.col("clash"), F.xxhash64("h", F.lit("parted"), F.xxhash64(F.lit("second"), "line"))).otherwise(F.col("h"))
+        found = written(found.join(clashing, "h", "left").select("id", "line_no", "line", parted.alias("h")), "lines")
+        discard(signed)
 
 
 def banded(signed: DataFrame) -> DataFrame:
@@ -146,13 +161,13 @@ def _sized(x: str, y: str):
     return F.least(x, y) >= F.greatest(x, y) * SIMILARITY
 
 
-def open_lines(members: DataFrame, labels: DataFrame) -> DataFrame:
+def open_lines(members: DataFrame, labels: DataFrame, pivots: int = 0) -> DataFrame:
     """(key, h, label, open, main, p0 ..): the lines of large buckets in which not all lines are known to be connected, with the number of the bucket's lines,
-    the label of its first pivot and some pivots, the same for all of them. labels: (node, root); lines of a label are connected, and a line without one is its own."""
+    the label of its first pivot and so many pivots, the same for all of them. labels: (node, root); lines of a label are connected, and a line without one is its own."""
     labelled = members.join(labels.select(F.col("node").alias("h"), F.col("root").alias("label")), "h", "left").withColumn("label", F.coalesce("label", "h"))
     labelled = written(labelled.select("key", "h", "label"), "line-labels")
-    pivots = [F.min_by("h", F.xxhash64("h", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-    parted = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("open"), F.min_by("label", "h").alias("main"), *pivots).where("a <> b").drop("a", "b")
+    some = [F.min_by("h", F.xxhash64("h", F.lit(k))).alias(f"p{k}") for k in range(pivots)]
+    parted = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("open"), F.min_by("label", "h").alias("main"), *some).where("a <> b").drop("a", "b")
     opened = written(spread_join(labelled, parted, ["key"], hot_keys(parted, "key", "open")), "line-open")
     discard(labelled)
     return opened
@@ -160,7 +175,10 @@ def open_lines(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sketched(opened: DataFrame, texts: DataFrame) -> DataFrame:
     """(h, size, o0 ..) of each open line: its number of shingles, and the parity of how many of them hash to each bit of o."""
-    each = _shingled(opened.select("h").distinct().join(texts, "h"), a="line").select("h", "size", F.explode("a").alias("s"))
+    sets = _shingled(opened.select("h").distinct().join(texts, "h"), distinct=False, a="line")
+    # most lines have no shingle twice, which their sizes tell
+    once = F.when(F.size("a") == F.col("size"), F.col("a")).otherwise(F.array_distinct("a"))
+    each = sets.select("h", "size", F.explode(once).alias("s"))
     bit = F.expr("shiftleft(1L, cast(shiftright(s, 8) & 63 as int))")
     words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(SKETCH - 1)) == k, bit).otherwise(F.lit(0))).alias(f"o{k}") for k in range(SKETCH)]
     return written(each.groupBy("h", "size").agg(*words), "line-sketches")
@@ -238,19 +256,6 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
-def _nearer(opened: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root): labels after links between them, as far as two steps go; lines of a label are connected, those of two may be, too.
-
-    A label goes to the least of itself and its neighbours, and where that one goes: the labels around a pivot get one.
-    """
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
-    onward = least.select(F.col("u").alias("m"), F.col("m").alias("next"))
-    labels = least.join(onward, "m").select(F.col("u").alias("label"), "next")
-    lines = opened.groupBy("h").agg(F.min("label").alias("label"))
-    return cut(lines.join(labels, "label", "left").select(F.col("h").alias("node"), F.coalesce("next", "label").alias("root")))
-
-
 def _moved(rooted: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root): rooted, with the roots connected that links (u, v) connect."""
     top = cut(components(links).select(F.col("node").alias("root"), F.col("root").alias("top")))
@@ -259,35 +264,34 @@ def _moved(rooted: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(alone))
 
 
-def connected(found: DataFrame) -> DataFrame:
+def connected(found: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, root) of the distinct lines that are connected with others: those of all pairs of a bucket that are similar.
 
     First the lines of a bucket are compared with its pivot. That settles buckets of two, and those whose lines are all connected by
     now. Lines of larger buckets are compared with some more pivots. In what is left, pairs that aren't known to be connected are compared: in small buckets all whose sketches leave a similarity
-    of 0.8 possible, in larger ones those of them that share one of their rarest shingles. Neither condition loses a link.
+    of 0.8 possible, in larger ones those of them that share one of their rarest shingles. Neither condition loses a link. signed: the signatures of found,
+    which are deleted once they aren't needed.
     """
-    signed = written(signatures(found), "line-signatures")
     pairs, members = candidates(signed)
     discard(signed)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
     texts = _shingled(texts_of(found, ends), a="line").select("h", "line", F.size("a").alias("size"))
     texts = written(texts, "line-texts")
     rooted = cut(components(similar(pairs, texts, hubs=True)))
-    opened = open_lines(members, rooted)
+    opened = open_lines(members, rooted, PIVOTS)
     sketches = sketched(opened, texts)
-    links, left = [], opened
+    left = opened
     if not opened.where(F.col("open") > PIVOTED).isEmpty():
-        links.append(_linked(pivot_pairs(opened, _labelled(sketches, opened)), texts))
-        left = open_lines(opened.select("key", "h"), _nearer(opened, links[0]))
+        # whole components, not only the lines around a pivot, spare most pairs of large groups
+        rooted = _moved(rooted, _linked(pivot_pairs(opened, _labelled(sketches, opened)), texts))
+        left = open_lines(opened.select("key", "h"), rooted)
+        discard(opened)
     marked = _labelled(sketches, left)
     further = [small_pairs(left, marked)]
     if not left.where(F.col("open") > SMALL).isEmpty():
         further.append(prefix_pairs(left, marked, texts).drop("s", "u_rest", "v_rest"))
-    links.append(_linked(reduce(DataFrame.unionByName, further), texts))
-    rooted = _moved(rooted, reduce(DataFrame.unionByName, links))
-    discard(pairs, members, texts, sketches, opened)
-    if left is not opened:
-        discard(left)
+    rooted = _moved(rooted, _linked(reduce(DataFrame.unionByName, further), texts))
+    discard(pairs, members, texts, sketches, left)
     return rooted
 
 
@@ -300,21 +304,27 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Equal lines are one node, told apart by two 64-bit hashes. Rows that repeat an id have equal lines at equal
     places, which stay or go together. No rows in, no rows out; other columns are not read.
     """
-    found, repeated = counted_lines(written(lines(docs, id_col, text_col), "lines"))
-    grouped = connected(found).withColumnRenamed("node", "h")
+    found, signed = signed_lines(written(lines(docs, id_col, text_col), "lines"))
+    repeated = written(signed.where("n > 1").select("h", "n"), "line-counts")
+    grouped = connected(found, signed).withColumnRenamed("node", "h")
     alone = repeated.join(grouped, "h", "left_anti").select("h", F.col("h").alias("root"))
-    marked = spread_join(found.select("id", "line_no", "h"), grouped.unionByName(alone), ["h"], hot_keys(repeated, "h"), "left")
+    known = cut(grouped.unionByName(alone))
+    found = found.select("id", "line_no", "h")
+    # most lines are in no group, and go to the answer without a shuffle
+    near, far = likely(found, known, "h"), likely(found, known, "h", others=True)
+    marked = spread_join(near, known, ["h"], hot_keys(repeated, "h"), "left", by=F.xxhash64("id", "line_no"))
     placed = written(marked.select("id", "line_no", "root"), "line-groups")
     groups = placed.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("group_size"))
     groups = cut(groups)
-    answer = spread_join(placed, groups, ["root"], hot_keys(groups, "root", "group_size"), "left")
-    first = F.when(F.col("root").isNull(), F.struct("id", "line_no")).otherwise(F.col("first"))
-    return answer.withColumn("first", first).select(
+    answer = spread_join(placed.where("root is not null"), groups, ["root"], hot_keys(groups, "root", "group_size"), by=F.xxhash64("id", "line_no"))
+    single = far.select("id", "line_no").unionByName(placed.where("root is null").select("id", "line_no"))
+    single = single.select("id", "line_no", F.struct("id", "line_no").alias("first"), F.lit(1).cast("long").alias("group_size"))
+    return answer.select("id", "line_no", "first", "group_size").unionByName(single).select(
         F.col("id").alias(id_col),
         "line_no",
         F.col("first.id").alias(f"keep_{id_col}"),
         F.col("first.line_no").alias("keep_line_no"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        "group_size",
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
     )
 

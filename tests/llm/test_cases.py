@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,25 @@ def test_buckets_are_counted_in_one_map(spark, monkeypatch):
     assert {of for of, on in seen.items() if on == "false"} == {"line-buckets"}
 
 
+def test_signatures_tell_counts_clashes_and_minima(spark):
+    """One pass counts the lines of a hash, sees whether second hashes differ, and finds the least hash under each mask; tables have no dictionaries."""
+    rows = [(1, 0, "a line of some length", 7), (2, 0, "a line of some length", 7), (3, 0, "short", 8), (4, 0, "other", 8), (5, 0, "0123456789ab", 9)]
+    got = {r.h: r for r in line_dedup.signatures(spark.createDataFrame(rows, "id long, line_no int, line string, h long")).collect()}
+    assert {h: (r.n, r.clash) for h, r in got.items()} == {7: (2, False), 8: (2, True), 9: (1, False)}
+    shingles = spark.createDataFrame([("0123456789",), ("123456789a",), ("23456789ab",)], "t string").select(F.xxhash64(line_dedup._wide(F.col("t")))).collect()
+    assert all(got[9][f"m{k}"] == min(r[0] ^ line_dedup._mask(k) for r in shingles) for k in range(line_dedup.MINIMA))
+    kept = line_dedup.written(spark.range(1000).selectExpr("id % 3 as x"), "plain")
+    footer = [pq.ParquetFile(f).metadata.row_group(0).column(0).encodings for f in kept.inputFiles() for f in [f.removeprefix("file://").removeprefix("file:")] if pq.ParquetFile(f).metadata.num_row_groups]
+    assert footer and not any("DICTIONARY" in str(e) for e in footer)
+
+
+def test_rows_that_a_bit_map_passes_over(spark):
+    """likely, with the other rows, parts a table; none of the wanted keys is among the others."""
+    rows, wanted = spark.range(500).selectExpr("xxhash64(id) as h"), spark.range(0, 500, 25).selectExpr("xxhash64(id) as h")
+    near, far = ({r.h for r in common.likely(rows, wanted, "h", others).collect()} for others in (False, True))
+    assert near | far == {r.h for r in rows.collect()} and not near & far and {r.h for r in wanted.collect()} <= near and len(near) < 100
+
+
 def test_a_bucket_of_many_unlike_lines(spark, monkeypatch):
     """Lines that quote one passage: small buckets, larger ones by pivots and by their rarest shingles give the same groups."""
     rng = random.Random(6)
